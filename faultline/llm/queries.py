@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from faultline.llm import pii
 from faultline.llm.packing import pack, packing_report
 from faultline.llm.residue import with_residue
 from faultline.llm.tokens import encode_texts, token_counts
 from faultline.session import cut, table
 
 
+def _free_text(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pii.Lexicon]:
+    return pii.fields(table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "kb_incidents")), pii.read_lexicon(table(spark, sf_dir, "name_parts"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of personal information."""
+    return pii.occurrences(*_free_text(spark, sf_dir))
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return pii.masked(*_free_text(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document."""
     return encode_texts(table(spark, sf_dir, "documents"))
@@ -46,5 +61,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_residue(table(spark, sf_dir, "documents")).where("residue is not null").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_counts, p7_containers, p7_report, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_masked, p6_ids, p6_counts, p7_containers, p7_report, p8_found)}
 SQL: dict[str, str] = {}
