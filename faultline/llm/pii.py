@@ -8,6 +8,7 @@ Weights are learned in pii_train.py by the gradient of the conditional likelihoo
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -86,18 +87,32 @@ _STREET_SIGNS = {"en": "street st lane ln road rd av dr close court ct cres way
                  "de": "straße strasse str. weg platz allee ufer gasse ring damm steig chaussee stieg markt pfad graben hof".split(),
                  "ru": "ул. улиц пер. переул пр-т просп пр. наб б-р бульвар ш. шоссе пл. площадь проезд пр-д аллея тупик".split()}
 
-#: Forms without one of which no segment of a text can score above zero, as a pattern the JVM tests before a text goes to Python.
 _FULL = r"(?:\p{Lu}\p{Ll}+(?:[-’']\p{Lu}\p{Ll}+)*|(?!(?:" + "|".join(sorted(x.upper() for x in CAPITALS)) + r")\b)\p{Lu}{2,}(?:-\p{Lu}{2,})*)(?![\p{L}\p{N}_@%=/\\-])"
-PREFILTER = "|".join([
-    r"[\p{L}\p{N}]@[\p{L}\p{N}-]+\.\p{L}|[\p{L}\p{N}] @ \p{L}|%40\p{L}|[(\[{](?i:at)[)\]}]| (?i:at) \S+ (?i:dot) |собака",
-    r"(?<![\p{L}\p{N}_.-])(?:\+ ?\d{1,3}[ (-]*\d[\d ()-]{6,}|\(\d{2,5}\) ?\d|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|0\d{1,4}[ /]\d{4,}|0\d{2,4}[ -]\d{3,}|00\d\d \d|8[ (-]+\d{3}|8\d{10}(?!\d))",
-    r"\d{3}-\d{2}-\d{4}|(?<![\p{L}\p{N}])[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?![\p{L}\p{N}])|\d{3}-\d{3}-\d{3}[ -]\d\d|(?<!\d)\d\d ?\d\d \d{6}(?!\d)",
-    r"(?iu:passport|паспорт|снилс|(?<!\p{L})инн(?!\p{L})|\bssn|social sec|tax id|\bnino\b|national ins|steuer-?(?:id|nu)|steuernu|sozialv|ausweis|reisepass|id card|identity card|удостоверен)",
-    r"(?<![\p{L}\p{N}_/*#-])\d{1,4}[A-Za-z]? (?:\p{Lu}[\p{L}’'-]* ){1,3}" + _STREET_EN,
-    r"\p{L}" + _STREET_DE + r" \d|\p{L} (?:Straße|Str\.|Weg|Platz|Allee|Ufer|Gasse|Ring|Damm) \d",
-    _STREET_RU + r" ?\p{Lu}|\p{L} (?:улица|переулок|проспект|набережная|площадь|шоссе|бульвар|аллея),? (?:д|\d)",
-    r"(?<![\p{L}\p{N}_/.@%-])(?:" + _FULL + r",? ?(?:" + _FULL + r"|\p{Lu}\.)|\p{Lu}\. ?(?:\p{Lu}\. ?)?\p{Lu}\p{L})",
-])
+# Forms without one of which no segment can score above zero. Each pattern begins with what is rare, so that it fails at once at most positions.
+_SIGN_EMAIL = r"[\p{L}\p{N}]@[\p{L}\p{N}-]+\.\p{L}|[\p{L}\p{N}] @ \p{L}|%40\p{L}|[(\[{](?i:at)[)\]}]| dot |собака"
+_SIGN_DIGITS = (r"(?<![\w.-])(?:\d(?:\d\d[ .-]\d{3}[ .-]\d{4}(?!\d)|\d\d-\d\d-\d{4}|\d\d-\d{3}-\d{3}[ -]\d\d|\d ?\d\d \d{6}(?!\d))|0\d{1,4}(?:[ /]\d{4}|\d?[ -]\d{3})|00\d\d \d|8(?:[ (-]+\d{3}|\d{10}(?!\d))"
+                r"|\+ ?\d{1,3}[ (-]*\d[\d ()-]{6}|\(\d{2,5}\) ?\d|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?!\w))")
+_SIGN_STREET_EN = r"\d[A-Za-z]? (?:\p{Lu}[\p{L}’'-]* ){1,3}" + _STREET_EN
+_SIGN_STREET_DE = r"(?:" + _STREET_DE[3:-1] + r"|Straße|Str\.|Weg|Platz|Allee|Ufer|Gasse|Ring|Damm) \d"
+_DE_PARTS = [f"{w} " for w in "straße strasse str. weg platz allee ufer gasse ring damm steig chaussee stieg markt pfad graben hof Straße Str. Weg Platz Allee Ufer Gasse Ring Damm".split()]
+_SIGN_STREET_RU = _STREET_RU + r" ?\p{Lu}|\p{L} (?:улица|переулок|проспект|набережная|площадь|шоссе|бульвар|аллея),? (?:д|\d)"
+_SIGN_NAME = r"(?<![\w/.@%-])(?=\p{Lu}[\p{L}’'.-]*+,? ?\p{Lu}|\p{Lu}\.)(?:" + _FULL + r",? ?(?:" + _FULL + r"|\p{Lu}\.)|\p{Lu}\. ?(?:\p{Lu}\. ?)?\p{Lu}\p{L})"
+
+
+# Parts of the words before an identity number, in either case of their first letter.
+_ID_PARTS = "assport ASSPORT аспорт АСПОРТ нилс НИЛС инн ИНН Инн SSN ssn ocial ax id AX ID NINO nino ational teuer TEUER ozialv usweis USWEIS eisepass EISEPASS card CARD достовер".replace("ax id AX ID", "ax_id AX_ID").split()
+_ID_PARTS = [w.replace("_", " ") for w in _ID_PARTS]
+
+
+def may_hold(text: str = "text") -> Column:
+    """Whether a text can hold a segment at all, tested in the JVM before a text goes to Python; null for null."""
+    t = F.col(text)
+    more = F.octet_length(t) != F.char_length(t)  # letters or signs beyond ASCII
+    any_of = lambda words: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+    id_words = (r"(?iu)passport|паспорт|снилс|(?<!\p{L})инн(?!\p{L})|\bssn|social sec|tax id|\bnino\b|national ins|steuer-?(?:id|nu)|sozialv|ausweis|reisepass|id card|identity card|удостоверен")
+    return ((any_of(["@", "%40", "at)", "AT)", "at]", "AT]", "at}", " dot ", "собака"]) & t.rlike(_SIGN_EMAIL))
+            | (any_of(_ID_PARTS) & t.rlike(id_words)) | t.rlike(_SIGN_DIGITS) | t.rlike(_SIGN_NAME)
+            | (any_of(_DE_PARTS) & t.rlike(_SIGN_STREET_DE)) | t.rlike(_SIGN_STREET_EN) | (more & (t.rlike(f"[{_ODD}]") | t.rlike("[а-я]") & t.rlike(_SIGN_STREET_RU))))
 
 
 @lru_cache(maxsize=1)
@@ -267,10 +282,6 @@ def fields(log_lines: DataFrame, kb: DataFrame) -> DataFrame:
                                       for c in ("symptoms", "root_cause")])).alias("x")).select("x.*"))
 
 
-def _may_hold() -> Column:
-    return F.translate("text", _ODD, _PLAIN).rlike(PREFILTER)
-
-
 def occurrences(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """field_name, rec_id, kind, occ_no of each occurrence. Texts that cannot hold a candidate are left out in the JVM; no shuffle.
 
@@ -285,7 +296,7 @@ def occurrences(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
                     rows.append((field, rec, k, seen[k]))
             yield pd.DataFrame(rows, columns=["field_name", "rec_id", "kind", "occ_no"])
 
-    return texts.where(_may_hold()).mapInPandas(run, "field_name string, rec_id bigint, kind string, occ_no int")
+    return texts.where(may_hold()).mapInPandas(run, "field_name string, rec_id bigint, kind string, occ_no int")
 
 
 def masked(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -294,5 +305,5 @@ def masked(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in batches:
             yield b[["field_name", "rec_id"]].assign(text=[redact(t, lexicon) if p else t for t, p in zip(b["text"], b["p"])])
 
-    return texts.withColumn("p", F.coalesce(_may_hold(), F.lit(False))).mapInPandas(
+    return texts.withColumn("p", F.coalesce(may_hold(), F.lit(False))).mapInPandas(
         run, "field_name string, rec_id bigint, text string")
