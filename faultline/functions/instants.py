@@ -130,7 +130,7 @@ def _utc(local: str, zone: str) -> str:
 
 def with_instant(df: DataFrame, text: str, zone: str, not_after: str | None = None, out: str = "us") -> DataFrame:
     """Add `{out}`, the microseconds of the instant written in column `text`, and `{out}_shift`, the microseconds
-    by which the later instant follows where a local time occurs twice (else 0).
+    by which the later instant follows where a local time occurs twice (else 0), and `{out}_known`, whether the text has a zone.
 
     Texts with a zone or an epoch number are taken as written. Others are read in the zone named by column `zone`
     (null or an unknown name: UTC), the earlier instant of two. Texts without a year take the latest year in which
@@ -154,4 +154,5 @@ def with_instant(df: DataFrame, text: str, zone: str, not_after: str | None = No
     tests = " ".join(f"when {wall(f'{out} + {s}000000L')} = {wall(out)} then {s}000000L" for s in (3600, 1800, 7200))
     df = df.withColumn(f"{out}_shift", F.expr(
         f"case when {out} is null or __p_us is not null or __p_off is not null or __zone = 'UTC' then 0L {tests} else 0L end"))
-    return df.select(*keep, out, f"{out}_shift")
+    return df.withColumn(f"{out}_known", F.expr(f"{out} is not null and (__p_us is not null or __p_off is not null)")).select(
+        *keep, out, f"{out}_shift", f"{out}_known")

@@ -15,7 +15,7 @@ def alert_instants(alerts: DataFrame, feeds: DataFrame) -> DataFrame:
     in the feed's zone, the earlier instant of two. Missing and unreadable times, null or broken payloads
     and unknown feeds give a null utc_us; no row is lost and extra columns pass through."""
     dim = feeds.groupBy("feed_id").agg(F.max("shape").alias("shape"), F.max("tz_name").alias("tz_name"))
-    a = alerts.drop("shape", "tz_name", "field_name", "utc_us", "utc_us_shift")
+    a = alerts.drop("shape", "tz_name", "field_name", "utc_us", "utc_us_shift", "utc_us_known")
     df = join_dimension(a, dim, "feed_id")
     starts = F.col("shape").isin("alertmanager", "no_fields")
     text = F.when(starts, F.get_json_object("payload", "$.alerts[0].startsAt")).when(
@@ -26,4 +26,4 @@ def alert_instants(alerts: DataFrame, feeds: DataFrame) -> DataFrame:
                                         F.col("__text").try_cast("decimal(30,6)").cast("string")).otherwise(F.col("__text")))
     df = with_instant(df, "__text", "tz_name", out="utc_us")
     df = df.withColumn("field_name", F.when(starts, "starts_at").when(F.col("shape") == "sentry", "timestamp"))
-    return fence(df.drop("__text", "utc_us_shift"), "utc_us")
+    return fence(df.drop("__text", "utc_us_shift", "utc_us_known"), "utc_us")
