@@ -24,7 +24,7 @@ def hits(text: Column) -> Column:
 
     def one(x: Column) -> Column:
         has = lambda g: F.coalesce(x[f"g{g}"], F.lit("")) != ""
-        card = F.luhn_check(digits(x["g9"]))
+        card = F.call_function("luhn_check", digits(x["g9"]))
         kind = (F.when(has(1), "secret").when(has(3), "urlcred").when(has(4), "token").when(has(5), "email").when(has(6) | has(7), "person_id")
                 .when(has(8), "account").when(has(9), F.when(card, "card")).when(has(10), "phone"))
         label = (F.when(has(1), F.concat(x["g1"], F.lit("=<redacted>"))).when(has(3), F.concat(x["g3"], F.lit("<redacted>@")))

@@ -140,7 +140,7 @@ def parse(records: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
     df = df.withColumn("until", F.lit(config.now_us + 86_399_999_999))
     df = df.select(*base, "fmt", "level", "message", "source", "trace", "status", "when", "until")
     df = instants.with_instant(df, "when", "cast(null as string)", "until", "us").withColumnRenamed("us_known", "tz_known")
-    df = fence(df, "us", "tz_known")
+    df = fence(df, "us", "tz_known", "level", "message", "source", "trace", "status", "fmt")
     return df.select(*[c for c in base if c != "tail"], F.expr("cast(timestamp_micros(us) as timestamp_ntz)").alias("ts"), "tz_known", "level",
                      levels.level_rank(F.col("level")).cast("int").alias("level_rank"), "message", "source", "trace", "status", "fmt")
 

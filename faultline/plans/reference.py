@@ -128,7 +128,7 @@ def histogram_minutes(spark, sf_dir):
 @query(_BASE + """, m AS (SELECT (us // 60000000) * 60000000 AS b FROM r WHERE level IN ('WARN', 'ERROR')),
 w AS (SELECT (max(b) - min(b)) // 60000000 AS span FROM m),
 k AS (SELECT CASE WHEN span / 1 <= 30 THEN 1 WHEN span / 5 <= 30 THEN 5 WHEN span / 15 <= 30 THEN 15 WHEN span / 30 <= 30 THEN 30 WHEN span / 60 <= 30 THEN 60 WHEN span / 180 <= 30 THEN 180 WHEN span / 720 <= 30 THEN 720 ELSE 1440 END AS minutes FROM w)
-SELECT (b // (minutes * 60000000)) * (minutes * 60000000) AS bucket_us, minutes, count(*) AS n_records FROM m, k GROUP BY 1, 2""")
+SELECT (b // (minutes * 60000000::BIGINT)) * (minutes * 60000000::BIGINT) AS bucket_us, minutes, count(*) AS n_records FROM m, k GROUP BY 1, 2""")
 def histogram_drawn(spark, sf_dir):
     """The same in buckets of fitting width."""
     return analyze.drawn_histogram(analyze.histogram(records(spark, sf_dir), 1, "WARN")).select(_us("bucket").alias("bucket_us"), F.col("minutes").cast("int").alias("minutes"), F.col("count").alias("n_records"))
