@@ -46,15 +46,21 @@ class BpeAutomaton:
         self.right: dict[int, int] = {}
         self.time: dict[int, int] = {}  # when a token's gadget was added
         self.gadget: dict[tuple[int, int], int] = {}
+        made = {i for b, i in vocab.items() if len(b) == 1}
         for n, (u, v) in enumerate(merges):
             w, u, v = vocab[u + v], vocab[u], vocab[v]
-            self.gadget.setdefault((u, v), n)
-            if w not in self.time:
-                self.left[w], self.right[w], self.time[w] = u, v, n
+            # the gadget finds nothing to join where u or v never arises or v can no longer follow u
+            if w in made or u not in made or v not in made or not self.arc(u, v):
+                continue
+            made.add(w)
+            self.gadget[u, v] = n
+            self.left[w], self.right[w], self.time[w] = u, v, n
         # byte automaton: entry (state, byte) -> state, and the token accepted in each state
         self.move: dict[int, int] = {}
         self.accept: list[int] = [-1]
         for b, i in vocab.items():
+            if i not in made:
+                continue
             s = 0
             for x in b:
                 k = s << 8 | x
