@@ -1,14 +1,18 @@
 """Payloads whose layout drifts between files: path statistics, changes, one consistent table.
 
 A payload is loaded as a map from leaf path to raw type and value. Statistics are aggregated by feed, file and
-path with map-side combining; changes compare neighbouring files of a feed on those small statistics. The consistent table
-projects chosen columns from the paths that carry them and reports each value that did not fit.
+path with map-side combining; changes compare neighbouring files of a feed on those small statistics. The whole table has a
+typed column for every path, one for all paths that renames link, and reports each value that did not fit; the consistent table projects
+a few chosen columns.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -142,7 +146,118 @@ def consistent_table(alerts: DataFrame) -> DataFrame:
     return df.select("delivery_id", "feed_id", "file_no", *typed, failed.alias("failed"))
 
 
+#: Paths a table can have; more is an error, never a loss.
+MOST_PATHS = 20_000
+COUNTS = "path string, kind string, form string, n bigint"
+_WHOLE, _LONG = re.compile(r"[+-]?\d{1,18}"), re.compile(r"[+-]?\d{16,}")
+_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|NaN|-?Infinity")
+
+
+class TableColumn(NamedTuple):
+    """A column of the whole table: its name, the type of its elements and the paths that carry it."""
+
+    name: str
+    type: str
+    paths: list[str]
+
+
+def _form(value: str | None) -> str:
+    """Comma-separated: whole (fits bigint), long (too long for double), number (any other); empty for text."""
+    if value is None or not _NUMBER.fullmatch(value):
+        return ""
+    return ",".join(["whole" if _WHOLE.fullmatch(value) else "number"] + ["long"] * bool(_LONG.fullmatch(value)))
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        n = Counter((path, kind, _form(value)) for payload in b["payload"] for path, kind, value in leaves(payload))
+        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["path", "kind", "form", "n"])
+
+
+def _linked(paths: list[str], renames: list[tuple[str, str]]) -> list[list[str]]:
+    """The paths in groups that renames link, whatever the direction and number of steps."""
+    up = {p: p for p in paths}
+
+    def top(p: str) -> str:
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        return p
+
+    for a, b in renames:
+        up[top(a)] = top(b)
+    groups: dict[str, list[str]] = {}
+    for p in sorted(paths):
+        groups.setdefault(top(p), []).append(p)
+    return list(groups.values())
+
+
+def _type(n: Counter) -> str:
+    """The type of most values, string on a tie; numbers are bigint if all that read as numbers fit, and string if double would change them."""
+    kinds = Counter()
+    for (kind, _), k in n.items():
+        if kind:
+            kinds[kind] += k
+    forms = {x for _, f in n for x in f.split(",") if x}
+    kind = max(kinds, key=lambda k: (kinds[k], k == "string", k), default="string")
+    if kind != "number":
+        return kind
+    return "bigint" if "number" not in forms else "string" if "long" in forms else "double"
+
+
+def table_columns(alerts: DataFrame) -> list[TableColumn]:
+    """One column for each group of paths that renames link, named by the path with most values; all paths are covered, also those that are only null."""
+    counted = alerts.select("payload").mapInPandas(_count, COUNTS).groupBy("path", "kind", "form").agg(F.sum("n").alias("n")).limit(12 * MOST_PATHS + 1).collect()
+    by_path: dict[str, Counter] = {}
+    for r in counted:
+        by_path.setdefault(r["path"], Counter())[r["kind"], r["form"]] += r["n"]
+    if len(by_path) > MOST_PATHS or len(counted) > 12 * MOST_PATHS:
+        raise ValueError(f"payloads have more than {MOST_PATHS} paths")
+    links = schema_changes(alerts).where("change_kind = 'renamed'").select("old_path", "new_path").distinct().limit(MOST_PATHS * 10 + 1).collect()
+    if len(links) > MOST_PATHS * 10:
+        raise ValueError(f"payloads have more than {MOST_PATHS * 10} renames")
+    groups = sorted((max(ps, key=lambda p: by_path[p].total()), ps) for ps in _linked(list(by_path), [tuple(r) for r in links]))
+    used, out = {"delivery_id", "feed_id", "file_no", "failed", "payload"}, []
+    for main, ps in groups:
+        base = name = re.sub(r"\W+", "_", main).strip("_") or "value"
+        k = 1
+        while name.casefold() in used:
+            k += 1
+            name = f"{base}_{k}"
+        used.add(name.casefold())
+        out.append(TableColumn(name, _type(sum((by_path[p] for p in ps), Counter())), ps))
+    return out
+
+
+def whole_table(alerts: DataFrame, columns: list[TableColumn] | None = None) -> DataFrame:
+    """delivery_id, feed_id, file_no, an array of typed values per column of table_columns() and `failed`: the column of each value that did not fit.
+
+    An array holds every value of the payload at the column's paths, in the order written, also those of all array elements; a null leaf and a value that did
+    not fit are null elements. The column is null where the payload has no such path. Every delivery gives one row."""
+    columns = table_columns(alerts) if columns is None else columns
+    at = {p: i for i, c in enumerate(columns) for p in c.paths}
+    names = [f"c{i}" for i in range(len(columns))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got: list[list] = [[None] * len(b) for _ in names]
+            for row, payload in enumerate(b["payload"]):
+                for path, _, value in leaves(payload):
+                    x = got[at[path]]
+                    if x[row] is None:
+                        x[row] = []
+                    x[row].append(value)
+            keys = b.drop(columns=["payload"])
+            yield pd.concat([keys, pd.DataFrame(dict(zip(names, got)), index=keys.index, columns=names, dtype=object)], axis=1)
+
+    df = alerts.select("delivery_id", "feed_id", "file_no", "payload").mapInPandas(
+        run, "delivery_id bigint, feed_id bigint, file_no int" + "".join(f", {n} array<string>" for n in names))
+    typed = [(F.col(n) if c.type == "string" else F.expr(f"transform({n}, x -> try_cast(x as {c.type}))")).alias(c.name) for n, c in zip(names, columns)]
+    failed = [F.array_repeat(F.lit(c.name), F.expr(f"coalesce(size(filter({n}, x -> x is not null and try_cast(x as {c.type}) is null)), 0)"))
+              for n, c in zip(names, columns) if c.type != "string"]
+    return df.select("delivery_id", "feed_id", "file_no", *typed, F.concat(F.expr("cast(array() as array<string>)"), *failed).alias("failed"))
+
+
 def cast_report(table: DataFrame) -> DataFrame:
-    """feed_id, file_no, column_name, n_failed: values of the consistent table that did not fit, by file and column."""
+    """feed_id, file_no, column_name, n_failed: values of the whole or consistent table that did not fit, by file and column."""
     return table.select("feed_id", "file_no", F.explode("failed").alias("column_name")).groupBy(
         "feed_id", "file_no", "column_name").agg(F.count(F.lit(1)).alias("n_failed"))

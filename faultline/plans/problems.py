@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from faultline.operators.alert_times import alert_instants
 from faultline.operators.exactly_once import exactly_once
 from faultline.operators.log_entries import entry_instants, log_entries
-from faultline.operators.schema_drift import cast_report, consistent_table, schema_changes
+from faultline.operators.schema_drift import cast_report, schema_changes, whole_table
 from faultline.session import table
 
 
@@ -27,13 +27,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All payloads in one table of consistent columns."""
-    return consistent_table(table(spark, sf_dir, "alerts")).withColumn("failed", F.array_join("failed", ","))
+    """All payloads in one table of consistent columns, every path and value."""
+    return whole_table(table(spark, sf_dir, "alerts")).withColumn("failed", F.array_join("failed", ","))
 
 
 def p3_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that did not fit their column, by file."""
-    return cast_report(consistent_table(table(spark, sf_dir, "alerts")))
+    return cast_report(whole_table(table(spark, sf_dir, "alerts")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from faultline.functions.instants import with_instant
 from faultline.operators.alert_times import alert_instants
 from faultline.operators.exactly_once import canonical_id, exactly_once, split_by_frequency
 from faultline.operators.log_entries import entry_instants, log_entries
-from faultline.operators.schema_drift import cast_report, consistent_table, leaves, schema_changes
+from faultline.operators.schema_drift import cast_report, consistent_table, leaves, schema_changes, table_columns, whole_table
 
 LINES = "line_id bigint, file_id bigint, line_no bigint, raw string, shipped_at timestamp_ntz, start boolean, block int"
 FILES = "file_id bigint, file_name string, tz_name string, collected_at timestamp_ntz"
@@ -153,3 +153,26 @@ def test_consistent_table(spark):
     t = consistent_table(_alerts(spark, rows))
     assert [(r["service"], r["paging"], r["failed"]) for r in t.orderBy("delivery_id").collect()] == [("a", True, ["replicas"]), ("b", None, []), (None, None, [])]
     assert [tuple(r) for r in cast_report(t).collect()] == [(1, 1, "replicas", 1)]
+
+
+def test_whole_table_has_every_path_and_value(spark):
+    rows = [(1, 1, 1, 0, {"alerts": [{"fingerprint": "f1", "labels": {"svcX": "pay", "replicas": 3}}, {"fingerprint": "f2", "labels": {"svcX": "gw", "replicas": "many"}}], "A": 1}),
+            (2, 1, 2, 0, {"alerts": [{"fingerprint": "f3", "labels": {"neverListed": "pay", "replicas": 4}}], "a": 1.5, "on": True}), (3, 1, 3, 0, {"n": None, "on": "maybe", "id": 12345678901234567890}), (4, None, None, 0, {"lost": ["x", "y"]}), (5, 1, 3, 0, None)]
+    alerts = _alerts(spark, rows)
+    cols = table_columns(alerts)
+    assert sorted(p for c in cols for p in c.paths) == sorted({p for *_, x in rows for p, _, _ in leaves(json.dumps(x))})
+    by = {p: c for c in cols for p in c.paths}
+    assert by["alerts[].labels.svcX"] is by["alerts[].labels.neverListed"] and {by[p].type for p in ("alerts[].labels.replicas", "A")} == {"bigint"} and by["on"].type == by["id"].type == "string" and by["a"].type == "double"
+    t = whole_table(alerts, cols)
+    got = {r["delivery_id"]: r for r in t.collect()}
+    assert len(got) == 5
+    for d, *_, x in rows:
+        want = defaultdict(list)
+        for path, _, v in leaves(json.dumps(x)):
+            want[by[path].name].append(v)
+        for c in cols:
+            v = got[d][c.name]
+            assert (v is None) == (c.name not in want)
+            assert [None if y is None else str(y) for y in v or []] == [None if y == "many" else y for y in want[c.name]]
+    assert [tuple(r) for r in cast_report(t).collect()] == [(1, 1, "alerts_labels_replicas", 1)]
+    assert whole_table(_alerts(spark, [])).count() == 0
