@@ -8,8 +8,11 @@ from faultline.functions import text as tx
 
 
 def frames(records: DataFrame, text: str = "raw") -> DataFrame:
-    """base, path, line, symbol, records: distinct frames of all records, most frequent first in later rankings. Combined before the shuffle."""
-    f = records.select(F.explode(tx.frames(F.col(text))).alias("f")).select("f.*").where("line is not null")
+    """base, path, line, symbol, records: distinct frames of all records, most frequent first in later rankings. Combined before the shuffle. A record counts once
+    for a frame, however many of the expressions match it; the first of them gives path and symbol."""
+    f = records.select(tx.frames(F.col(text)).alias("fs")).where(F.size("fs") > 0).withColumn("keys", F.transform("fs", lambda x: F.struct(x["base"].alias("base"), x["line"].alias("line"))))
+    once = F.filter("fs", lambda x, i: F.array_position("keys", F.struct(x["base"].alias("base"), x["line"].alias("line"))) == i + 1)
+    f = f.select(F.explode(once).alias("f")).select("f.*").where("line is not null")
     return f.groupBy("base", "line").agg(F.min("path").alias("path"), F.max("symbol").alias("symbol"), F.count(F.lit(1)).alias("records"))
 
 

@@ -300,6 +300,12 @@ def code_frames(spark, sf_dir):
     return table(spark, sf_dir, "log_lines").select(F.explode(x).alias("x")).select("x.base", F.col("x.line").cast("int").alias("line")).groupBy("base", "line").agg(F.count(F.lit(1)).alias("n_frames"))
 
 
+@query()
+def code_frames_all(spark, sf_dir):
+    """X11: frames of all seven expressions in all log lines, distinct by base and line."""
+    return code.frames(table(spark, sf_dir, "log_lines")).select("base", "line", "path", "symbol", "records")
+
+
 @query("SELECT p_brand AS base, p_size AS line, count(*) AS n FROM part GROUP BY 1, 2")
 def code_join(spark, sf_dir):
     """Frames joined to files by name, here brands as names; the count checks that no row is lost or doubled."""

@@ -3,6 +3,7 @@
 import bz2
 import gzip
 import lzma
+import re
 import zipfile
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from faultline.config import EngineConfig
 from faultline.functions import scrub, text as tx
 from faultline.operators import alert_cards, analyze, code, confidence, correlate, kb_search, records as rec
+from faultline.plans.reference import QUERIES
 from faultline.sources import knowledge_base, loglines, repository
 
 APP = [
@@ -166,3 +168,19 @@ def test_triage(spark):
     t = triage(lines(spark, APP))
     assert t.confidence.first()["verdict"] in ("hypothesis", "likely_cause") and "kb" in t.skipped
     assert report(t).first()["json"].startswith('{"schema":"report@1"')
+
+
+def test_frames_of_all_languages_against_brute_force(spark, tmp_path):
+    raws = ["at com.acme.Pay.run(Pay.java:2) at com.acme.Pay.run(Pay.java:2)", 'File "/app/svc/pay.py", line 3, in charge', "at go (/srv/web/a.tsx:7:1)", "/srv/x/handler.go:88", "in C:\\src\\A.cs:line 12", "./lib/b.rb:5", "see core/main.rs:9 and Pay.java:2", "plain", "", None]
+    want = {}
+    for raw in raws:
+        seen = {}
+        for pattern, path, line, symbol in tx.FRAMES:
+            for m in re.finditer(pattern, raw or ""):
+                seen.setdefault((re.split(r"[/\\\\]", m.group(path))[-1], int(m.group(line))), (m.group(path), (m.group(symbol) or "") if symbol else ""))
+        for k, v in seen.items():
+            want.setdefault(k, []).append(v)
+    want = {k: (min(p for p, _ in v), max(s for _, s in v), len(v)) for k, v in want.items()}
+    spark.createDataFrame([(r,) for r in raws], "raw string").write.parquet(str(tmp_path / "log_lines.parquet"))
+    got = {(r["base"], r["line"]): (r["path"], r["symbol"], r["records"]) for r in QUERIES["code_frames_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 7 and want["Pay.java", 2][2] == 2
