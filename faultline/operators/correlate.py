@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions import text as tx
 from faultline.functions.levels import LEVEL_ORDER
+from faultline.session import cut, proven_small
 
 ERROR = LEVEL_ORDER.index("ERROR") + 1
 WARN = LEVEL_ORDER.index("WARN") + 1
@@ -66,7 +67,9 @@ def clock_skew(records: DataFrame, least: int = 3, seconds: float = 2.0) -> Data
     a, b = e.select("key", F.col("service").alias("a"), F.col("us").alias("ua")), e.select("key", F.col("service").alias("b"), F.col("us").alias("ub"))
     d = a.join(b, "key").where("a < b").select("a", "b", ((F.col("ub") - F.col("ua")) / 1e6).alias("d"))
     m = d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.median("d").alias("median_s")).where((F.col("n") >= least) & (F.abs("median_s") >= seconds))
-    dev = d.join(F.broadcast(m.select("a", "b", "median_s").limit(10_000)), ["a", "b"]).groupBy("a", "b").agg(F.median(F.abs(F.col("d") - F.col("median_s"))).alias("mad_s"))
+    m = cut(m)  # one row per pair of services: counted, then joined twice
+    medians = m.select("a", "b", "median_s")
+    dev = d.join(F.broadcast(medians) if proven_small(medians) else medians, ["a", "b"]).groupBy("a", "b").agg(F.median(F.abs(F.col("d") - F.col("median_s"))).alias("mad_s"))
     return m.join(dev, ["a", "b"]).withColumn("systematic", F.col("mad_s") <= F.greatest(F.abs("median_s") * 0.25, F.lit(0.5)))
 
 

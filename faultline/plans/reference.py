@@ -209,6 +209,21 @@ def clock_skew(spark, sf_dir):
     return correlate.clock_skew(a.unionByName(b)).select("a", "b", "n", F.round("median_s").cast("long").alias("median_s"), F.round("mad_s").cast("long").alias("mad_s"), "systematic")
 
 
+@query("""WITH o AS (SELECT o_custkey AS key, 'orders' AS service, min(epoch_us(o_orderdate)) AS us FROM orders GROUP BY 1),
+l AS (SELECT o_custkey AS key, 'ship-' || CAST(l_linenumber AS VARCHAR) AS service, min(epoch_us(l_shipdate)) AS us FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+e AS (SELECT * FROM o UNION ALL SELECT * FROM l), d AS (SELECT x.service AS a, y.service AS b, (y.us - x.us) / 1000000.0 AS d FROM e x JOIN e y ON x.key = y.key AND x.service < y.service),
+m AS (SELECT a, b, count(*) AS n, median(d) AS m FROM d GROUP BY 1, 2)
+SELECT d.a, d.b, m.n, CAST(round(m.m) AS BIGINT) AS median_s, CAST(round(median(abs(d.d - m.m))) AS BIGINT) AS mad_s, median(abs(d.d - m.m)) <= greatest(abs(m.m) * 0.25, 0.5) AS systematic
+FROM d JOIN m USING (a, b) WHERE m.n >= 3 AND abs(m.m) >= 2 GROUP BY 1, 2, 3, m.m""")
+def clock_skew_all(spark, sf_dir):
+    """The same over all lines of all orders, eight sources."""
+    o = table(spark, sf_dir, "orders")
+    a = o.select(F.col("o_custkey").cast("string").alias("key"), F.lit("orders").alias("service"), F.col("o_orderdate").alias("ts"))
+    b = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").cast("string").alias("key"), F.concat(F.lit("ship-"), F.col("l_linenumber").cast("string")).alias("service"), F.col("l_shipdate").alias("ts"))
+    return correlate.clock_skew(a.unionByName(b)).select("a", "b", "n", F.round("median_s").cast("long").alias("median_s"), F.round("mad_s").cast("long").alias("mad_s"), "systematic")
+
+
 def _hours(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
 

@@ -184,3 +184,19 @@ def test_frames_of_all_languages_against_brute_force(spark, tmp_path):
     spark.createDataFrame([(r,) for r in raws], "raw string").write.parquet(str(tmp_path / "log_lines.parquet"))
     got = {(r["base"], r["line"]): (r["path"], r["symbol"], r["records"]) for r in QUERIES["code_frames_all"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == 7 and want["Pay.java", 2][2] == 2
+
+
+def test_clock_skew_reports_every_pair(spark):
+    n = 143  # 10153 pairs
+    r = spark.range(3 * n).selectExpr("cast(id % 3 as string) as key", "concat('s', lpad(cast(id div 3 as string), 3, '0')) as service", "cast(timestamp_seconds(10 * (id div 3)) as timestamp_ntz) as ts")
+    got = correlate.clock_skew(r).collect()
+    assert {(x["a"], x["b"]): (x["n"], x["median_s"], x["mad_s"]) for x in got} == {(f"s{i:03}", f"s{j:03}"): (3, 10.0 * (j - i), 0.0) for i in range(n) for j in range(i + 1, n)}
+
+
+def test_clock_skew_all_has_every_source(spark, tmp_path):
+    at = "cast(timestamp_seconds(id * 100) as timestamp_ntz)"
+    spark.range(3).selectExpr("id as o_orderkey", "id as o_custkey", f"{at} as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(3).selectExpr("id as l_orderkey", "explode(sequence(1, 7)) as l_linenumber", "id").selectExpr("l_orderkey", "l_linenumber", "cast(timestamp_seconds(id * 100 + 5 * l_linenumber) as timestamp_ntz) as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(x["a"], x["b"]): x["median_s"] for x in QUERIES["clock_skew_all"](spark, str(tmp_path)).collect()}
+    when = {"orders": 0} | {f"ship-{k}": 5 * k for k in range(1, 8)}
+    assert got == {(a, b): when[b] - when[a] for a in when for b in when if a < b}
