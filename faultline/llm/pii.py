@@ -87,32 +87,30 @@ _STREET_SIGNS = {"en": "street st lane ln road rd av dr close court ct cres way
                  "de": "straße strasse str. weg platz allee ufer gasse ring damm steig chaussee stieg markt pfad graben hof".split(),
                  "ru": "ул. улиц пер. переул пр-т просп пр. наб б-р бульвар ш. шоссе пл. площадь проезд пр-д аллея тупик".split()}
 
-_FULL = r"(?:\p{Lu}\p{Ll}+(?:[-’']\p{Lu}\p{Ll}+)*|(?!(?:" + "|".join(sorted(x.upper() for x in CAPITALS)) + r")\b)\p{Lu}{2,}(?:-\p{Lu}{2,})*)(?![\p{L}\p{N}_@%=/\\-])"
-# Forms without one of which no segment can score above zero. Each pattern begins with what is rare, so that it fails at once at most positions.
-_SIGN_EMAIL = r"[\p{L}\p{N}]@[\p{L}\p{N}-]+\.\p{L}|[\p{L}\p{N}] @ \p{L}|%40\p{L}|[(\[{](?i:at)[)\]}]| dot |собака"
-_SIGN_DIGITS = (r"(?<![\w.-])(?:\d(?:\d\d[ .-]\d{3}[ .-]\d{4}(?!\d)|\d\d-\d\d-\d{4}|\d\d-\d{3}-\d{3}[ -]\d\d|\d ?\d\d \d{6}(?!\d))|0\d{1,4}(?:[ /]\d{4}|\d?[ -]\d{3})|00\d\d \d|8(?:[ (-]+\d{3}|\d{10}(?!\d))"
-                r"|\+ ?\d{1,3}[ (-]*\d[\d ()-]{6}|\(\d{2,5}\) ?\d|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?!\w))")
+_FULL = r"(?:\p{Lu}\p{Ll}+(?:[-’']\p{Lu}\p{Ll}+)*|(?!(?:" + "|".join(sorted(x.upper() for x in CAPITALS)) + r")(?![\p{L}\p{N}-]))\p{Lu}{2,}(?:-\p{Lu}{2,})*)(?![\p{L}\p{N}_@%=/\\-])"
+# Forms without one of which there is no segment to score: the candidates' own patterns, or wider ones that fail at once at most positions.
+_java = lambda p: p.replace("(?i:", "(?iu:")
+_SIGN_EMAIL = r"[\p{L}\p{N}] ?@ ?[\p{L}\p{N}]"
+_SIGN_ID = "(?U)" + _java(_LABELLED_ID.pattern)
 _SIGN_STREET_EN = r"\d[A-Za-z]? (?:\p{Lu}[\p{L}’'-]* ){1,3}" + _STREET_EN
 _SIGN_STREET_DE = r"(?:" + _STREET_DE[3:-1] + r"|Straße|Str\.|Weg|Platz|Allee|Ufer|Gasse|Ring|Damm) \d"
 _DE_PARTS = [f"{w} " for w in "straße strasse str. weg platz allee ufer gasse ring damm steig chaussee stieg markt pfad graben hof Straße Str. Weg Platz Allee Ufer Gasse Ring Damm".split()]
 _SIGN_STREET_RU = _STREET_RU + r" ?\p{Lu}|\p{L} (?:улица|переулок|проспект|набережная|площадь|шоссе|бульвар|аллея),? (?:д|\d)"
-_SIGN_NAME = r"(?<![\w/.@%-])(?=\p{Lu}[\p{L}’'.-]*+,? ?\p{Lu}|\p{Lu}\.)(?:" + _FULL + r",? ?(?:" + _FULL + r"|\p{Lu}\.)|\p{Lu}\. ?(?:\p{Lu}\. ?)?\p{Lu}\p{L})"
-
-
-# Parts of the words before an identity number, in either case of their first letter.
-_ID_PARTS = "assport ASSPORT аспорт АСПОРТ нилс НИЛС инн ИНН Инн SSN ssn ocial ax id AX ID NINO nino ational teuer TEUER ozialv usweis USWEIS eisepass EISEPASS card CARD достовер".replace("ax id AX ID", "ax_id AX_ID").split()
-_ID_PARTS = [w.replace("_", " ") for w in _ID_PARTS]
+_SIGN_NAME = (r"(?<![\w/.@%-])(?=\p{Lu}[\p{L}’'.-]*+,? ?\p{Lu})" + _FULL + r",? ?(?:" + _FULL + r"|\p{Lu}\.)|(?<![\w@%-])\p{Lu}\. ?(?:\p{Lu}\. ?)?\p{Lu}\p{L}")
 
 
 def may_hold(text: str = "text") -> Column:
-    """Whether a text can hold a segment at all, tested in the JVM before a text goes to Python; null for null."""
+    """Whether a text can hold a candidate at all, tested in the JVM before a text goes to Python; null for null."""
     t = F.col(text)
+    low = F.lower(t)
     more = F.octet_length(t) != F.char_length(t)  # letters or signs beyond ASCII
-    any_of = lambda words: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
-    id_words = (r"(?iu)passport|паспорт|снилс|(?<!\p{L})инн(?!\p{L})|\bssn|social sec|tax id|\bnino\b|national ins|steuer-?(?:id|nu)|sozialv|ausweis|reisepass|id card|identity card|удостоверен")
-    return ((any_of(["@", "%40", "at)", "AT)", "at]", "AT]", "at}", " dot ", "собака"]) & t.rlike(_SIGN_EMAIL))
-            | (any_of(_ID_PARTS) & t.rlike(id_words)) | t.rlike(_SIGN_DIGITS) | t.rlike(_SIGN_NAME)
-            | (any_of(_DE_PARTS) & t.rlike(_SIGN_STREET_DE)) | t.rlike(_SIGN_STREET_EN) | (more & (t.rlike(f"[{_ODD}]") | t.rlike("[а-я]") & t.rlike(_SIGN_STREET_RU))))
+    any_of = lambda words, t=t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+    n_digits = lambda x: F.char_length(F.regexp_replace(x, r"[^0-9]+", ""))
+    number = F.exists(F.regexp_extract_all(t, F.lit(_DIGITS.pattern), F.lit(0)), lambda x: n_digits(x).between(7, 16) & ~x.rlike(_DATE.pattern))
+    return (t.rlike(_SIGN_NAME) | (F.contains(t, F.lit("@")) & t.rlike(_SIGN_EMAIL)) | any_of(["%40", "at)", "at]", "at}", "собака)", " dot "], low)
+            | (any_of(_ID_SIGNS, low) & t.rlike(_SIGN_ID)) | t.rlike(_FORM_ID.pattern) | number
+            | (any_of(_DE_PARTS) & t.rlike(_SIGN_STREET_DE)) | t.rlike(_SIGN_STREET_EN)
+            | (more & (t.rlike(f"[{_ODD}]") | t.rlike(r"[\p{Nd}&&[^0-9]]") | t.rlike("[а-я]") & t.rlike(_SIGN_STREET_RU))))
 
 
 @lru_cache(maxsize=1)
