@@ -291,6 +291,14 @@ def kb_similar(spark, sf_dir):
     return kb_search.search(e, "payment pool timeout", ["tmpl:ConnectionTimeoutError: timed out waiting for connection from pool after <n> ms", "PoolExhaustedError"])
 
 
+@query()
+def kb_similar_all(spark, sf_dir):
+    """Every entry whose kb_id is divisible by 20 as a query, by title and signatures, against all entries."""
+    kb = table(spark, sf_dir, "kb_incidents")
+    e = kb_search.from_table(kb).withColumn("id", F.concat_ws("#", "id", "kb_id"))
+    return kb_search.search_all(kb.where("kb_id % 20 = 0").select(F.col("kb_id").alias("query_id"), F.col("title").alias("text"), "signatures"), e)
+
+
 @query("""SELECT delivery_id, CASE WHEN json_extract(payload, '$.alerts[0].labels') IS NOT NULL OR json_extract(payload, '$.alerts[0].startsAt') IS NOT NULL THEN 'alertmanager'
   WHEN json_extract(payload, '$.data.event') IS NOT NULL THEN 'sentry' WHEN json_extract(payload, '$.ruleName') IS NOT NULL OR json_extract(payload, '$.evalMatches') IS NOT NULL OR json_extract(payload, '$.ruleUrl') IS NOT NULL THEN 'grafana' END AS shape
   FROM alerts""")

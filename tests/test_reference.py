@@ -200,3 +200,15 @@ def test_clock_skew_all_has_every_source(spark, tmp_path):
     got = {(x["a"], x["b"]): x["median_s"] for x in QUERIES["clock_skew_all"](spark, str(tmp_path)).collect()}
     when = {"orders": 0} | {f"ship-{k}": 5 * k for k in range(1, 8)}
     assert got == {(a, b): when[b] - when[a] for a in when for b in when if a < b}
+
+
+def test_search_all_equals_single_searches(spark):
+    kb = spark.read.parquet("/root/testdata/sf0.001/kb_incidents.parquet")
+    e = kb_search.from_table(kb).withColumn("id", F.concat_ws("#", "id", "kb_id")).persist()
+    got = {}
+    for r in QUERIES["kb_similar_all"](spark, "/root/testdata/sf0.001").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["outcome"], round(r["score"], 1)))
+    asked = kb.where("kb_id % 20 = 0").collect()
+    want = {q["kb_id"]: [(r["id"], r["outcome"], round(r["score"], 1)) for r in kb_search.search(e, q["title"] or "", list(q["signatures"] or [])).collect()] for q in asked}
+    assert got == {k: v for k, v in want.items() if v} and got
+    e.unpersist()
