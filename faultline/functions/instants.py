@@ -8,7 +8,7 @@ parser is called per row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Offsets of zone abbreviations in seconds.
 ZONE_ABBREVIATIONS = {
@@ -74,15 +74,15 @@ def _month_length(y: str, o: str) -> str:
     return f"case when {o} = 2 then if({leap}, 29, 28) when {o} in (4, 6, 9, 11) then 30 else 31 end"
 
 
-def with_time_parts(df: DataFrame, text: str, out: str = "t") -> DataFrame:
+def with_time_parts(df: DataFrame, text: str, out: str = "t", odd_zone_is_local: bool = False) -> DataFrame:
     """Add columns read from the text column `text`:
 
     {out}_us     microseconds of the instant, where the text has a zone or is an epoch number
-    {out}_local  microseconds of the wall-clock reading, where the text has no zone
+    {out}_local  microseconds of the wall-clock reading, where the text has no zone (or, with `odd_zone_is_local`, an impossible offset)
     {out}_o, {out}_d, {out}_tod, {out}_off   month, day, microseconds of the day and written offset in seconds
                  (null if none), where the year is missing
 
-    Null text, blank text, other text, impossible dates and years before 2 give nulls throughout. Each step is
+    Null text, blank text, other text, impossible dates and offsets and years before 2 give nulls throughout. Each step is
     a projection of its own, so that no value is worked out twice."""
     keep = df.columns
     a = f"__{out}_a"
@@ -101,7 +101,7 @@ def with_time_parts(df: DataFrame, text: str, out: str = "t") -> DataFrame:
         c["i"]: num(4), c["s"]: num(5), c["f"]: f"cast(rpad(substr({a}[6], 1, 6), 6, '0') as bigint)",
         c["z"]: f"{a}[7]",
         c["m"]: f"""case when coalesce({a}[7], '') = '' then null
-               when {a}[7] rlike '^[+-]' then if(startswith({a}[7], '-'), -1, 1) * (try_cast(substr({a}[7], 2, 2) as int) * 3600
+               when {a}[7] rlike '^[+-](?:[01][0-9]|2[0-3])(?::?[0-5][0-9])?$' then if(startswith({a}[7], '-'), -1, 1) * (try_cast(substr({a}[7], 2, 2) as int) * 3600
                    + coalesce(try_cast(nullif(substr(replace({a}[7], ':', ''), 4, 2), '') as int), 0) * 60)
                else try_element_at({zone_map}, lower({a}[7])) end""",
         c["e"]: f"""if(coalesce({a}[9], '') = '', null, try_cast(rpad(substr(concat({a}[9], {a}[10],
@@ -118,7 +118,7 @@ def with_time_parts(df: DataFrame, text: str, out: str = "t") -> DataFrame:
     none = f"{c['c']} is not null and {y} is null"
     return df.select(*keep, *[F.expr(x).alias(f"{out}_{n}") for n, x in {
         "us": f"coalesce({c['e']}, {wall} - {c['m']} * 1000000L)",
-        "local": f"if({c['z']} = '', {wall}, null)",
+        "local": f"if({c['z']} = ''{f' or {c['m']} is null' if odd_zone_is_local else ''}, {wall}, null)",
         "o": f"if({none}, {o}, null)", "d": f"if({none}, {d}, null)", "tod": f"if({none}, {c['c']}, null)", "off": c["m"],
     }.items()])
 
@@ -128,15 +128,24 @@ def _utc(local: str, zone: str) -> str:
     return f"unix_micros(to_utc_timestamp(timestamp_micros({local}), {zone}))"
 
 
-def with_instant(df: DataFrame, text: str, zone: str, not_after: str | None = None, out: str = "us") -> DataFrame:
+def known_zone(name: Column) -> Column:
+    """The name of a zone, an offset such as +03:00, or UTC in place of null and of any name that is no zone. For dimension tables: names are looked up in
+    the list of the running JVM."""
+    jvm = SparkSession.active()._jvm
+    zones = jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds())
+    good = F.array_contains(F.split(F.lit(zones), ","), name) | name.rlike(r"^[+-](?:0\d|1[0-7]):[0-5]\d$")
+    return F.when(good, name).otherwise("UTC")
+
+
+def with_instant(df: DataFrame, text: str, zone: str, not_after: str | None = None, out: str = "us", odd_zone_is_local: bool = False) -> DataFrame:
     """Add `{out}`, the microseconds of the instant written in column `text`, and `{out}_shift`, the microseconds
     by which the later instant follows where a local time occurs twice (else 0), and `{out}_known`, whether the text has a zone.
 
     Texts with a zone or an epoch number are taken as written. Others are read in the zone named by column `zone`
-    (null or an unknown name: UTC), the earlier instant of two. Texts without a year take the latest year in which
+    (null: UTC; any other name must be one of known_zone()), the earlier instant of two. Texts without a year take the latest year in which
     the date exists and the instant is not after column `not_after` (microseconds); without that column they are null."""
     keep = df.columns
-    df = with_time_parts(df, text, "__p")
+    df = with_time_parts(df, text, "__p", odd_zone_is_local)
     df = df.withColumn("__zone", F.expr(f"coalesce({zone}, 'UTC')"))
     parts = ["__p_us", f"if(__p_local is null, null, {_utc('__p_local', '__zone')})"]
     if not_after:

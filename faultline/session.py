@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -41,11 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, as named by spark.checkpoint.dir; a temporary one only where
-    that setting is absent (single-machine tests)."""
+    """The folder the cluster shares, as named by spark.checkpoint.dir. Only a session that runs in one process (master local or local[..]) may leave
+    it unset and gets a temporary folder; on a cluster that would be a disk of one machine, so there it is an error."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or ""
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="faultline-"))
     return shared
 
