@@ -1,9 +1,8 @@
 """Payloads whose layout drifts between files: path statistics, changes, one consistent table.
 
 A payload is loaded as a map from leaf path to raw type and value. Statistics are aggregated by feed, file and
-path with map-side combining; changes compare neighbouring files of a feed on those small statistics. The whole table has a
-typed column for every path, one for all paths that renames link, and reports each value that did not fit; the consistent table projects
-a few chosen columns.
+path with map-side combining; changes compare neighbouring files of a feed on those small statistics. The table has a
+typed column for every path, one for all paths that renames link, and reports each value that did not fit.
 """
 
 from __future__ import annotations
@@ -15,10 +14,14 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from faultline.session import cut
 
 _TYPES = {str: "string", bool: "boolean", int: "number", float: "number"}
-LEAVES = "feed_id bigint, file_no int, path string, kind string, value string"
+LEAVES = "feed_id bigint, file_no int, path string, kind string, value string, form string, n bigint"
+_WHOLE, _LONG = re.compile(r"[+-]?\d{1,18}"), re.compile(r"[+-]?\d{16,}")
+_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|NaN|-?Infinity")
 
 
 def leaves(payload: str | None) -> list[tuple[str, str | None, str | None]]:
@@ -49,108 +52,71 @@ def leaves(payload: str | None) -> list[tuple[str, str | None, str | None]]:
     return out
 
 
+def _form(value: str | None) -> str:
+    """Comma-separated: whole (fits bigint), long (too long for double), number (any other); empty for text."""
+    if value is None or not _NUMBER.fullmatch(value):
+        return ""
+    return ",".join(["whole" if _WHOLE.fullmatch(value) else "number"] + ["long"] * bool(_LONG.fullmatch(value)))
+
+
 def _load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = {}  # one row per distinct leaf of a file in this batch: combining starts before the shuffle
+        rows = Counter()  # one row per distinct leaf of a file in this batch: combining starts before the shuffle
         for feed, file, payload in zip(b["feed_id"], b["file_no"], b["payload"]):
             for path, kind, value in leaves(payload):
-                rows[feed, file, path, kind, value] = None
-        out = pd.DataFrame(list(rows), columns=["feed_id", "file_no", "path", "kind", "value"], dtype=object)
-        yield out
+                rows[feed, file, path, kind, value] += 1
+        yield pd.DataFrame([(*k, _form(k[4]), n) for k, n in rows.items()], columns=["feed_id", "file_no", "path", "kind", "value", "form", "n"], dtype=object)
 
 
 def path_values(alerts: DataFrame) -> DataFrame:
-    """Distinct (feed_id, file_no, path, kind, value) within each batch of `alerts`."""
-    return alerts.select("feed_id", "file_no", "payload").where("feed_id is not null and file_no is not null").mapInPandas(_load, LEAVES)
+    """feed_id, file_no, path, kind, form, h (hash of kind and value, null for a null leaf), n: the distinct leaves within each batch of `alerts` and how often
+    each stood there. Payloads of an unknown feed or file are among them."""
+    return alerts.select("feed_id", "file_no", "payload").mapInPandas(_load, LEAVES).select(
+        "feed_id", "file_no", "path", "kind", "form", F.when(F.col("kind").isNotNull(), F.xxhash64("kind", "value")).alias("h"), "n")
 
 
-def path_statistics(alerts: DataFrame) -> DataFrame:
-    """One row per feed_id, file_no, path: kind (null if every value is null; 'string' if several kinds meet)
-    and the set of value hashes, at most as many as the file has leaves."""
-    return path_values(alerts).groupBy("feed_id", "file_no", "path").agg(
-        F.expr("if(min(kind) = max(kind), min(kind), if(count(kind) = 0, null, 'string'))").alias("kind"),
-        F.collect_set(F.when(F.col("kind").isNotNull(), F.xxhash64("kind", "value"))).alias("seen"))
+def path_statistics(values: DataFrame) -> DataFrame:
+    """One row per feed_id, file_no, path of path_values(): kind (null if every value is null; 'string' if several kinds meet)."""
+    return values.where("feed_id is not null and file_no is not null").groupBy("feed_id", "file_no", "path").agg(
+        F.expr("if(min(kind) = max(kind), min(kind), if(count(kind) = 0, null, 'string'))").alias("kind"))
 
 
-def schema_changes(alerts: DataFrame) -> DataFrame:
+def schema_changes(alerts: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """feed_id, file_no, change_kind, old_path, new_path of each change from file_no - 1 to file_no.
 
     A file whose predecessor is missing has no changes; so has the first file of a feed. A path that is only null
     has no kind and is never retyped. A file without any readable payload has no paths and is treated as missing.
-    Every vanished and appeared path that share a value are a rename, also if several do."""
-    from faultline.session import cut
+    Every vanished and appeared path that share a value are a rename, also if several do.
 
-    s = cut(path_statistics(alerts))
+    The neighbours of a path's statistics in its feed tell whether it stayed, vanished or appeared, in one ordered pass. Values are looked at only for paths
+    that vanished or appeared; they meet by hash, so no path's values are gathered. `values` is path_values(alerts), where it is at hand."""
+    v = cut(path_values(alerts)) if values is None else values
+    s = path_statistics(v)
     files = s.select("feed_id", "file_no").distinct()
-    both = files.join(files.select("feed_id", (F.col("file_no") + 1).alias("file_no")), ["feed_id", "file_no"])
-    now = s.join(both, ["feed_id", "file_no"], "left_semi")
-    old = s.withColumn("file_no", F.col("file_no") + 1).join(both, ["feed_id", "file_no"], "left_semi")
-    step = old.withColumnsRenamed({"kind": "old_kind", "seen": "old_seen"}).join(
-        now.withColumnsRenamed({"kind": "new_kind", "seen": "new_seen"}), ["feed_id", "file_no", "path"], "full_outer")
-    step = step.withColumn("gone", F.col("new_seen").isNull()).withColumn("new", F.col("old_seen").isNull())
-    retyped = step.where("not gone and not new and old_kind <> new_kind").select(
-        "feed_id", "file_no", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path"))
-    # vanished and appeared paths meet on a shared value, never all with all
-    gone = step.where("gone").select("feed_id", "file_no", F.col("path").alias("old_path"), F.explode_outer("old_seen").alias("v"))
-    come = step.where("new").select("feed_id", "file_no", F.col("path").alias("new_path"), F.explode_outer("new_seen").alias("v"))
-    renamed = gone.join(come, ["feed_id", "file_no", "v"]).select(
-        "feed_id", "file_no", F.lit("renamed").alias("change_kind"), "old_path", "new_path").distinct()
-    removed = gone.select("feed_id", "file_no", "old_path").distinct().join(renamed, ["feed_id", "file_no", "old_path"], "left_anti").select(
-        "feed_id", "file_no", F.lit("removed").alias("change_kind"), "old_path", F.lit("").alias("new_path"))
-    added = come.select("feed_id", "file_no", "new_path").distinct().join(renamed, ["feed_id", "file_no", "new_path"], "left_anti").select(
-        "feed_id", "file_no", F.lit("added").alias("change_kind"), F.lit("").alias("old_path"), "new_path")
-    return retyped.unionByName(renamed).unionByName(removed).unionByName(added)
-
-
-# Columns of the consistent table, their types, and the leaf names that have carried each.
-COLUMNS = {
-    "service": ("string", ["service", "service[]", "service_name", "svc", "app", "job", "app.name", "project", "project_slug"]),
-    "environment": ("string", ["env", "environment", "stand", "deploy.env", "deploy.environment"]),
-    "alert_name": ("string", ["alertname", "alert_name", "alertName", "alert", "rule.alertname", "ruleName", "exception.type", "metadata.type"]),
-    "severity": ("string", ["severity", "sev", "level", "state"]),
-    "kind": ("string", ["kind", "event_kind", "event.kind", "type"]),
-    "status": ("string", ["status", "result", "outcome.status", "action"]),
-    "replicas": ("bigint", ["replicas", "user_count", "orgId", "pipeline"]),
-    "threshold": ("double", ["threshold", "value", "duration_ms"]),
-    "paging": ("boolean", ["paging", "handled"]),
-}
-
-
-def _row_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        got = []
-        for payload in b["payload"]:
-            m: dict[str, str] = {}
-            for path, _, value in leaves(payload):
-                if value is not None:
-                    m.setdefault(path, value)
-            got.append(m)
-        yield b.drop(columns=["payload"]).assign(leaf=got)
-
-
-def consistent_table(alerts: DataFrame) -> DataFrame:
-    """delivery_id, feed_id, file_no and one typed column per entry of COLUMNS, plus `failed`: the columns whose text did
-    not fit their type (their value is then null). Every delivery gives one row; null, empty and broken payloads give nulls."""
-    base = alerts.select("delivery_id", "feed_id", "file_no", "payload").mapInPandas(
-        _row_leaves, "delivery_id bigint, feed_id bigint, file_no int, leaf map<string,string>")
-    # the last keys of a path decide: the same field under labels, commonLabels or the root
-    base = base.withColumn("by_name", F.expr(
-        "transform(map_entries(leaf), x -> named_struct('path', concat('.', x.key), 'value', x.value))"))
-    raw = {c: F.expr("coalesce(" + ", ".join(
-        f"try_element_at(filter(by_name, x -> endswith(x.path, '.{n}')), 1).value" for n in names) + ")")
-        for c, (_, names) in COLUMNS.items()}
-    df = base.select("delivery_id", "feed_id", "file_no", *[x.alias(f"__{c}") for c, x in raw.items()])
-    typed = [F.col(f"__{c}").try_cast(t).alias(c) for c, (t, _) in COLUMNS.items()]
-    failed = F.array_compact(F.array(*[F.when(F.col(f"__{c}").isNotNull() & F.col(f"__{c}").try_cast(t).isNull(), F.lit(c))
-                                       for c, (t, _) in COLUMNS.items()]))
-    return df.select("delivery_id", "feed_id", "file_no", *typed, failed.alias("failed"))
+    by_file = Window.partitionBy("feed_id").orderBy("file_no")
+    files = files.select("feed_id", "file_no", (F.lag("file_no").over(by_file) == F.col("file_no") - 1).alias("after"), (F.lead("file_no").over(by_file) == F.col("file_no") + 1).alias("before"))
+    by_path = Window.partitionBy("feed_id", "path").orderBy("file_no")
+    s = s.withColumns({"was": F.when(F.lag("file_no").over(by_path) == F.col("file_no") - 1, F.struct(F.lag("kind").over(by_path).alias("kind"))), "stays": F.coalesce(F.lead("file_no").over(by_path) == F.col("file_no") + 1, F.lit(False))})
+    s = cut(s.join(files, ["feed_id", "file_no"]).select(
+        "feed_id", "file_no", "path", F.expr("coalesce(was.kind <> kind, false)").alias("retyped"), F.expr("coalesce(after, false) and was is null").alias("new"), F.expr("coalesce(before, false) and not stays").alias("gone"))
+        .where("retyped or new or gone"))
+    retyped = s.where("retyped").select("feed_id", "file_no", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path"))
+    # a path may appear in one file and be gone from the next: one row for each step in which it takes part
+    ends = s.select("feed_id", "file_no", "path", F.explode(F.array_compact(F.array(F.when(F.col("new"), F.struct(F.col("file_no").alias("step"), F.lit(True).alias("come"))), F.when(
+        F.col("gone"), F.struct((F.col("file_no") + 1).alias("step"), F.lit(False).alias("come")))))).alias("x")).select("feed_id", "file_no", "path", "x.step", "x.come")
+    # vanished and appeared paths meet on a shared value, never all with all; an entry of the array is a path, so it is as short as a payload is narrow
+    meet = v.where("h is not null").select("feed_id", "file_no", "path", "h").join(ends, ["feed_id", "file_no", "path"]).groupBy("feed_id", "step", "h").agg(
+        F.collect_set(F.when(~F.col("come"), F.col("path"))).alias("old"), F.collect_set(F.when(F.col("come"), F.col("path"))).alias("new"))
+    renamed = meet.where("size(old) > 0 and size(new) > 0").select("feed_id", F.col("step").alias("file_no"), F.lit("renamed").alias("change_kind"), F.explode("old").alias("old_path"), "new").select(
+        "feed_id", "file_no", "change_kind", "old_path", F.explode("new").alias("new_path")).distinct()
+    paired = renamed.select("feed_id", "file_no", F.explode(F.array(F.struct(F.lit(False).alias("come"), F.col("old_path").alias("path")), F.struct(F.lit(True).alias("come"), F.col("new_path").alias("path")))).alias("x"), F.lit(1).alias("paired"))
+    alone = ends.select("feed_id", F.col("step").alias("file_no"), F.struct("come", "path").alias("x"), F.lit(0).alias("paired")).unionByName(paired).groupBy("feed_id", "file_no", "x").agg(F.max("paired").alias("paired")).where("paired = 0")
+    alone = alone.select("feed_id", "file_no", F.expr("if(x.come, 'added', 'removed')").alias("change_kind"), F.expr("if(x.come, '', x.path)").alias("old_path"), F.expr("if(x.come, x.path, '')").alias("new_path"))
+    return retyped.unionByName(renamed).unionByName(alone)
 
 
 #: Paths a table can have; more is an error, never a loss.
 MOST_PATHS = 20_000
-COUNTS = "path string, kind string, form string, n bigint"
-_WHOLE, _LONG = re.compile(r"[+-]?\d{1,18}"), re.compile(r"[+-]?\d{16,}")
-_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|NaN|-?Infinity")
 
 
 class TableColumn(NamedTuple):
@@ -161,19 +127,6 @@ class TableColumn(NamedTuple):
     paths: list[str]
 
 
-def _form(value: str | None) -> str:
-    """Comma-separated: whole (fits bigint), long (too long for double), number (any other); empty for text."""
-    if value is None or not _NUMBER.fullmatch(value):
-        return ""
-    return ",".join(["whole" if _WHOLE.fullmatch(value) else "number"] + ["long"] * bool(_LONG.fullmatch(value)))
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        n = Counter((path, kind, _form(value)) for payload in b["payload"] for path, kind, value in leaves(payload))
-        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["path", "kind", "form", "n"])
-
-
 def _linked(paths: list[str], renames: list[tuple[str, str]]) -> list[list[str]]:
     """The paths in groups that renames link, whatever the direction and number of steps."""
     up = {p: p for p in paths}
@@ -205,14 +158,17 @@ def _type(n: Counter) -> str:
 
 
 def table_columns(alerts: DataFrame) -> list[TableColumn]:
-    """One column for each group of paths that renames link, named by the path with most values; all paths are covered, also those that are only null."""
-    counted = alerts.select("payload").mapInPandas(_count, COUNTS).groupBy("path", "kind", "form").agg(F.sum("n").alias("n")).limit(12 * MOST_PATHS + 1).collect()
+    """One column for each group of paths that renames link, named by the path with most values; all paths are covered, also those that are only null.
+
+    Payloads are read once; counts and renames come from the same path values."""
+    values = cut(path_values(alerts))
+    counted = values.groupBy("path", "kind", "form").agg(F.sum("n").alias("n")).limit(12 * MOST_PATHS + 1).collect()
     by_path: dict[str, Counter] = {}
     for r in counted:
         by_path.setdefault(r["path"], Counter())[r["kind"], r["form"]] += r["n"]
     if len(by_path) > MOST_PATHS or len(counted) > 12 * MOST_PATHS:
         raise ValueError(f"payloads have more than {MOST_PATHS} paths")
-    links = schema_changes(alerts).where("change_kind = 'renamed'").select("old_path", "new_path").distinct().limit(MOST_PATHS * 10 + 1).collect()
+    links = schema_changes(alerts, values).where("change_kind = 'renamed'").select("old_path", "new_path").distinct().limit(MOST_PATHS * 10 + 1).collect()
     if len(links) > MOST_PATHS * 10:
         raise ValueError(f"payloads have more than {MOST_PATHS * 10} renames")
     groups = sorted((max(ps, key=lambda p: by_path[p].total()), ps) for ps in _linked(list(by_path), [tuple(r) for r in links]))
@@ -258,6 +214,6 @@ def whole_table(alerts: DataFrame, columns: list[TableColumn] | None = None) ->
 
 
 def cast_report(table: DataFrame) -> DataFrame:
-    """feed_id, file_no, column_name, n_failed: values of the whole or consistent table that did not fit, by file and column."""
+    """feed_id, file_no, column_name, n_failed: values of the table that did not fit, by file and column."""
     return table.select("feed_id", "file_no", F.explode("failed").alias("column_name")).groupBy(
         "feed_id", "file_no", "column_name").agg(F.count(F.lit(1)).alias("n_failed"))
