@@ -1,7 +1,7 @@
 """Physical log lines to log entries: start detection, grouping, fields, and entry instants.
 
-Plan shape: header expressions run per line on the map side, so the shuffle carries only extracted fields,
-never the raw text. Lines are distributed by (file, block of line numbers), so one file of any size spreads
+Plan shape: header expressions run per line on the map side, so the shuffle carries only extracted fields, and
+the text of lines only where the message is asked for. Lines are distributed by (file, block of line numbers), so one file of any size spreads
 over many tasks; inside a block a running count of starts numbers the entries. Only the first and last piece of
 each block, two rows per block, are put together in a second, small grouping by file.
 """
@@ -22,11 +22,11 @@ _ISO, _EPOCH = instants.PLAIN["a"], instants.PLAIN["epoch"]
 _DOT, _CLF, _NOYEAR = instants.PLAIN["k"], instants.PLAIN["b"], instants.PLAIN["n"]
 _NAME = r"[\w$][\w.$/-]*"
 
-# The ordered cascade. Fields: t time, l level word, c component, p syslog priority, q HTTP status.
+# The ordered cascade. Fields: t time, l level word, c component, p syslog priority, q HTTP status, m request; what follows is the message.
 _LAYOUTS = [
     rf"<(?<p@>\d{{1,3}})>\d (?<t@>{_ISO}) \S+ (?<c@>\S+) ",
     rf"(?:<(?<p@>\d{{1,3}})>)?(?<t@>{_NOYEAR}) \S+ (?<c@>[^\s:\[\]]+)(?:\[\d+\])?: (?:\[?(?<l@>{_LV})\b\]?)?",
-    rf"\S+ \S+ \S+ \[(?<t@>{_CLF})\] \"(?:[^\"\\]|\\.)*\" (?<q@>[1-5]\d\d)\b",
+    rf"\S+ \S+ \S+ \[(?<t@>{_CLF})\] \"(?<m@>(?:[^\"\\]|\\.)*)\" (?<q@>[1-5]\d\d)\b",
     rf"(?<t@>{_ISO}) \[(?<l@>{_LV})\] \d+#\d+:",
     rf"(?<t@>{_ISO}) - (?<c@>{_NAME}) - (?<l@>{_LV}) - ",
     rf"(?<t@>{_DOT}|{_ISO}) \[[^\]]*\] +(?<l@>{_LV}) +(?<c@>{_NAME}) +- ",
@@ -37,18 +37,19 @@ _LAYOUTS = [
     rf"(?<t@>{_ISO}|{_EPOCH}|{_DOT}) +(?<c@>{_NAME}) +(?<l@>{_LV})\b",
     rf"(?<t@>{_ISO}|{_EPOCH}|{_DOT})(?: +\[?(?<l@>{_LV})\b\]?)?(?= |$)",
 ]
-_HEADER = r"\A(?:" + "|".join(p.replace("@", str(i)) for i, p in enumerate(_LAYOUTS)) + r")(?s:.*)\z"
+_HEADER = r"\A(?:" + "|".join(p.replace("@", str(i)) for i, p in enumerate(_LAYOUTS)) + r")(?<rest>(?s:.*))\z"
 _ALL = lambda f: "".join(f"${{{f}{i}}}" for i, p in enumerate(_LAYOUTS) if f"(?<{f}@>" in p)
-_FIELDS = _MARK + _SEP.join(_ALL(f) for f in "tlcpq")
+_FIELDS = _MARK + _SEP.join([*(_ALL(f) for f in "tlcpqm"), "${rest}"])
 
 # Keys that carry each field in JSON and key=value records, most specific first.
 TIME_KEYS = ["@timestamp", "timestamp", "time", "ts"]
 LEVEL_KEYS = ["level", "severity", "lvl", "loglevel", "levelname"]
 COMPONENT_KEYS = ["service", "component", "app", "logger", "program"]
+MESSAGE_KEYS = ["message", "msg", "event", "text", "log"]
 
 
 def _json_schema() -> str:
-    return ", ".join(f"`{k}` string" for k in TIME_KEYS + LEVEL_KEYS + COMPONENT_KEYS)
+    return ", ".join(f"`{k}` string" for k in TIME_KEYS + LEVEL_KEYS + COMPONENT_KEYS + MESSAGE_KEYS)
 
 
 def _json_level(word: Column) -> Column:
@@ -61,10 +62,16 @@ def _pair(raw: Column, keys: list[str]) -> Column:
         if keys is TIME_KEYS else F.nullif(F.regexp_extract(raw, r"(?:^|\s)(?:" + "|".join(keys) + r")=\"?([^\s\"]+)", 1), F.lit(""))
 
 
+def _quoted_pair(raw: Column, keys: list[str]) -> Column:
+    """The same where the value may be a quoted text with spaces."""
+    p = r"(?:^|\s)(?:" + "|".join(keys) + r")=(?:\"((?:[^\"\\]|\\.)*)\"|([^\s\"]+))"
+    return F.nullif(F.concat(F.regexp_extract(raw, p, 1), F.regexp_extract(raw, p, 2)), F.lit(""))
+
+
 def with_line_fields(lines: DataFrame) -> DataFrame:
     """Add `start` (does the line begin an entry), `open` (it is the opening brace of a record written over
-    several lines), `time_text`, `level`, `component`, and for lines inside such a record `in_time`, `in_level`,
-    `in_component`. Null lines, blank lines and lines without a time of their own never start an entry."""
+    several lines), `time_text`, `level`, `component`, `said` (the message on a first line, without the header), and for lines inside such a record
+    `in_time`, `in_level`, `in_component`, `in_said`. Null lines, blank lines and lines without a time of their own never start an entry."""
     raw = F.rtrim(F.col("raw"))
     df = lines.withColumn("__k", F.expr(
         r"""case when raw is null then 0 when startswith(raw, '{') then if(rtrim(raw) = '{', 2, 1)
@@ -98,14 +105,17 @@ def with_line_fields(lines: DataFrame) -> DataFrame:
                               levels.level_of_status(h(4).try_cast("int")))).alias("level"),
         F.when(k == 1, pick(COMPONENT_KEYS)).when(k == 3, _pair(F.col("__p"), COMPONENT_KEYS))
         .when(hit, F.when(h(4).isNotNull(), "access").otherwise(F.nullif(h(2), F.lit("-")))).alias("component"),
-        inside(TIME_KEYS).alias("in_time"), inside(LEVEL_KEYS).alias("in_level"), inside(COMPONENT_KEYS).alias("in_component"))
+        F.when(k == 1, pick(MESSAGE_KEYS)).when(k == 3, _quoted_pair(F.col("raw"), MESSAGE_KEYS))
+        .when(hit, F.coalesce(h(5), F.ltrim(F.col("__h")[6], F.lit(" -:")))).alias("said"),
+        inside(TIME_KEYS).alias("in_time"), inside(LEVEL_KEYS).alias("in_level"), inside(COMPONENT_KEYS).alias("in_component"), inside(MESSAGE_KEYS).alias("in_said"))
 
 
 def _pieces(lines: DataFrame, block_lines: int) -> DataFrame:
     """Parts of entries that lie within one block: one row per (file_id, block, seq)."""
     narrow = with_line_fields(lines.select("file_id", "line_no", "line_id", "raw")).select(
         "file_id", F.expr(f"line_no div {block_lines}").alias("block"), "line_no", "line_id",
-        F.xxhash64("raw").alias("h"), "start", "open", "time_text", "level", "component", "in_time", "in_level", "in_component")
+        F.xxhash64("raw").alias("h"), "start", "open", "time_text", "level", "component", "in_time", "in_level", "in_component", "in_said",
+        F.coalesce(F.when(F.col("start"), F.col("said")), "raw", F.lit("")).alias("text"))
     w = Window.partitionBy("file_id", "block").orderBy("line_no", "h", "line_id")
     once = narrow.withColumn("__again", (F.lag("line_no").over(w) == F.col("line_no")) & (F.lag("h").over(w) == F.col("h"))) \
         .where(~F.coalesce("__again", F.lit(False)))
@@ -114,25 +124,29 @@ def _pieces(lines: DataFrame, block_lines: int) -> DataFrame:
     got = seq.groupBy("file_id", "block", "seq").agg(
         F.min(F.struct("line_no", "line_id")).alias("first"), F.count(F.lit(1)).alias("n"),
         F.max(F.when(F.col("start"), F.struct("open", "time_text", "level", "component"))).alias("head"),
-        first("in_time"), first("in_level"), first("in_component"))
+        first("in_time"), first("in_level"), first("in_component"), first("in_said"),
+        F.array_sort(F.collect_list(F.struct("line_no", "h", "text"))).alias("texts"))
+    got = got.withColumn("texts", F.array_join(F.transform("texts", lambda x: x["text"]), "\n"))
     return got.withColumn("last", F.max("seq").over(Window.partitionBy("file_id", "block")))
 
 
 def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """One row per log entry: file_id, line_no, line_id (smallest of the first line), n_lines, time_text,
-    log_level, component ('' where the entry states none).
+    log_level, component ('' where the entry states none), message (the first line without its header, the message key of structured
+    records, the request of web access lines; then the lines that follow, as they are). Without the message no text leaves the scan.
 
     Lines shipped twice count once. Lines before a file's first start belong to no entry, null and blank lines
     count as lines of the entry they follow, an empty table gives no rows; other columns are ignored."""
     p = _pieces(lines, block_lines)
-    body = ["file_id", "first", "n", "head", "in_time", "in_level", "in_component"]
+    body = ["file_id", "first", "n", "head", "in_time", "in_level", "in_component", "in_said", "texts"]
     inner = p.where("seq > 0 and seq < last").select(*body)
     edge = p.where("seq = 0 or seq = last")
     w = Window.partitionBy("file_id").orderBy("block", "seq")
     part = edge.withColumn("g", F.sum(F.when(F.col("seq") > 0, 1).otherwise(0)).over(w)).where("g > 0")
     by = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("block", "seq", c))).getField(c).alias(c)
     joined = part.groupBy("file_id", "g").agg(
-        F.min("first").alias("first"), F.sum("n").alias("n"), by("head"), by("in_time"), by("in_level"), by("in_component")
+        F.min("first").alias("first"), F.sum("n").alias("n"), by("head"), by("in_time"), by("in_level"), by("in_component"), by("in_said"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "texts"))), lambda x: x["texts"]), "\n").alias("texts")
     ).select(*body)
     e = inner.unionByName(joined)
     opened = F.col("head.open")
@@ -141,23 +155,26 @@ def log_entries(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
         F.col("n").cast("int").alias("n_lines"),
         F.when(opened, F.col("in_time")).otherwise(F.col("head.time_text")).alias("time_text"),
         F.coalesce(F.when(opened, _json_level(F.col("in_level"))).otherwise(F.col("head.level")), F.lit("")).alias("log_level"),
-        F.coalesce(F.when(opened, F.col("in_component")).otherwise(F.col("head.component")), F.lit("")).alias("component"))
+        F.coalesce(F.when(opened, F.col("in_component")).otherwise(F.col("head.component")), F.lit("")).alias("component"),
+        F.coalesce(F.when(opened, F.col("in_said")), "texts").alias("message"))
 
 
-def entry_instants(entries: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES, gap_us: int = 60_000_000) -> DataFrame:
-    """file_id, line_no, line_id, utc_us of every entry with a readable time.
+def entry_instants(entries: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES, gap_us: int = 60_000_000, carry: tuple[str, ...] = (), undated: bool = False) -> DataFrame:
+    """file_id, line_no, line_id, utc_us and the columns `carry` of every entry with a readable time, with a null utc_us also of the others if `undated`.
 
     A local time that occurs twice is the later instant if the entry before it lies more than `gap_us` after the
     earlier one. Whether that holds may depend on how the entry before was read, but only in one of three ways:
     certainly, certainly not, or 'as the one before'. So the answer is the last certain one, which a running
     last-value gives without walking the file; blocks are linked by their last rows only."""
-    dim = files.groupBy("file_id").agg(F.max("tz_name").alias("tz_name"),
+    dim = files.groupBy("file_id").agg(instants.known_zone(F.max("tz_name")).alias("tz_name"),
                                        F.max(F.expr("unix_micros(cast(collected_at as timestamp))")).alias("until"))
-    df = join_dimension(entries.select("file_id", "line_no", "line_id", "time_text"), dim, "file_id")
+    keep = ["file_id", "line_no", "line_id", *carry]
+    df = join_dimension(entries.select(*keep, "time_text"), dim, "file_id")
     df = df.withColumn("until", F.coalesce("until", F.lit(253402300799000000)))
     df = fence(instants.with_instant(df, "time_text", "tz_name", "until", "e").withColumnRenamed("e_shift", "shift"), "e", "shift")
+    none = df.where("e is null").select(*keep, F.col("e").alias("utc_us")) if undated else None
     df = df.where("e is not null")
-    df = df.select("file_id", F.expr(f"line_no div {block_lines}").alias("block"), "line_no", "line_id", "e", "shift")
+    df = df.select(*keep, F.expr(f"line_no div {block_lines}").alias("block"), "e", "shift")
     w = Window.partitionBy("file_id", "block").orderBy("line_no", "line_id")
 
     def certain(over) -> Column:
@@ -167,12 +184,12 @@ def entry_instants(entries: DataFrame, files: DataFrame, block_lines: int = BLOC
 
     d = df.withColumn("at", F.row_number().over(w)).withColumn("c", certain(w))
     d = d.withColumn("x", F.last("c", True).over(w)).withColumn("end", F.lead("line_no").over(w).isNull())
-    done = d.where("x is not null").select("file_id", "line_no", "line_id", (F.col("e") + F.col("x") * F.col("shift")).alias("utc_us"))
+    done = d.where("x is not null").select(*keep, (F.col("e") + F.col("x") * F.col("shift")).alias("utc_us"))
     # What a block could not settle by itself, in the order of the file, with the last row of every block before it.
     v = Window.partitionBy("file_id").orderBy("block", "line_no", "line_id")
     rest = d.where("x is null or end")
     rest = rest.withColumn("c2", F.coalesce(F.col("x"), F.when(F.col("at") == 1, F.coalesce(certain(v),
                            F.when(F.lag("e").over(v).isNull(), 0)))))
     rest = rest.withColumn("x2", F.last("c2", True).over(v)).where("x is null")
-    return done.unionByName(rest.select("file_id", "line_no", "line_id",
-                                        (F.col("e") + F.coalesce("x2", F.lit(0)) * F.col("shift")).alias("utc_us")))
+    out = done.unionByName(rest.select(*keep, (F.col("e") + F.coalesce("x2", F.lit(0)) * F.col("shift")).alias("utc_us")))
+    return out.unionByName(none) if undated else out

@@ -41,6 +41,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_entries(table(spark, sf_dir, "log_lines")).select("file_id", "line_no", "n_lines", "log_level", "component")
 
 
+def p4_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log entries with their instant and message."""
+    e = log_entries(table(spark, sf_dir, "log_lines"))
+    return entry_instants(e, table(spark, sf_dir, "log_files"), carry=("n_lines", "log_level", "component", "message"), undated=True).drop("line_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable times of alerts and log entries as one UTC instant each."""
     alerts = alert_instants(table(spark, sf_dir, "alerts"), table(spark, sf_dir, "feeds")).where("utc_us is not null").select(
@@ -50,5 +56,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.unionByName(logs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p3_found, p3_table, p3_failed_casts, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p3_found, p3_table, p3_failed_casts, p4_found, p4_entries, p5_found)}
 SQL: dict[str, str] = {}

@@ -12,7 +12,7 @@ from faultline.functions.instants import with_instant
 from faultline.operators.alert_times import alert_instants
 from faultline.operators.exactly_once import canonical_id, exactly_once, split_by_frequency
 from faultline.operators.log_entries import entry_instants, log_entries
-from faultline.operators.schema_drift import cast_report, consistent_table, leaves, schema_changes, table_columns, whole_table
+from faultline.operators.schema_drift import cast_report, leaves, schema_changes, table_columns, whole_table
 
 LINES = "line_id bigint, file_id bigint, line_no bigint, raw string, shipped_at timestamp_ntz, start boolean, block int"
 FILES = "file_id bigint, file_name string, tz_name string, collected_at timestamp_ntz"
@@ -30,7 +30,7 @@ TIMES = [
     ("Oct 29, 2025 12:10:55 PM", us(2025, 10, 29, 12, 10, 55, zone=BERLIN)), ("16.08.2025 00:02:45", us(2025, 8, 16, 0, 2, 45, zone=BERLIN)), ("1754685158", 1754685158000000), ("1756388270351", 1756388270351000),
     ("1755275243.629623", 1755275243629623), ("2025-08-06 16:42:45.144 MSK", us(2025, 8, 6, 13, 42, 45, 144000)), ("2025-10-26 02:30:00", us(2025, 10, 26, 2, 30, zone=BERLIN)),
     ("2025/08/13 07:21:35", us(2025, 8, 13, 5, 21, 35)), ("2024-02-29T00:00:00z", us(2024, 2, 29)), ("2026-02-30T10:00:00Z", None), ("0001-01-01T00:00:00Z", None), ("n/a", None), ("", None), (None, None),
-    ("2025-13-01 00:00:00", None), ("2025-01-01 24:00:00", None), ("2025-01-01 00:00:60", None), ("Aug 31, 2025 13:19:16 PM", None),
+    ("2025-13-01 00:00:00", None), ("2025-01-01 24:00:00", None), ("2025-01-01 00:00:60", None), ("Aug 31, 2025 13:19:16 PM", None), ("2025-08-10T01:14:54+99:99", None), ("2025-08-10T01:14:54+0300", us(2025, 8, 9, 22, 14, 54)),
 ]
 
 
@@ -68,6 +68,30 @@ def test_entries_whatever_the_blocks(spark, block):
     assert sorted(map(tuple, got)) == WANT
 
 
+SAID = {2: "started", 3: "boom\njava.io.IOException: socket closed\n	at a.B.c(B.java:1)\n  last success: 2025-12-30 04:15:29 from cache\n{\"amount\": 373, \"retry\": false}", 13: "level=3 done service=x", 14: "GET /a HTTP/1.1", 16: "ok",
+        17: "*251 x", 18: "x", 19: "x", 20: "ERROR in text", 21: "x\n\n", 24: "m", 25: "x"}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 8192])
+def test_messages_whatever_the_blocks(spark, block):
+    rows = [(1, n, raw) for n, raw in enumerate(LOG, 1)] + [(1, 4, LOG[3]), (1, 8, LOG[7])]
+    got = {r["line_no"]: r["message"] for r in log_entries(_log(spark, rows), block).collect()}
+    assert {n: got[n] for n in SAID} == SAID and got[8] == "\n".join(LOG[7:12]) and "x" in got[15]
+
+
+def test_carried_columns_and_undated_entries(spark):
+    rows = [(1, 1, "2025-10-26 02:30:00 svc: x"), (1, 2, "2025-13-45 02:30:00 svc: y"), (2, 1, "2025-10-26T02:30:00+99:99 svc: z")]
+    files = spark.createDataFrame([(1, "a", "Europe/Berlin", datetime(2026, 1, 1)), (2, "b", "Mars/Phobos", datetime(2026, 1, 1))], FILES)
+    got = {(r["file_id"], r["line_no"]): (r["utc_us"], r["message"]) for r in entry_instants(log_entries(_log(spark, rows)), files, carry=("message",), undated=True).collect()}
+    assert got[1, 1] == (us(2025, 10, 26, 2, 30, zone=BERLIN), "x") and got[1, 2] == (None, "y")
+
+
+def test_unknown_zones_are_utc(spark):
+    feeds = spark.createDataFrame([(1, "alertmanager", None, "Mars/Phobos"), (2, "alertmanager", None, "+03:00"), (3, "alertmanager", None, None)], FEEDS)
+    got = {r["feed_id"]: r["utc_us"] for r in alert_instants(_alerts(spark, [(i, i, 1, 0, _am("a", "2025-08-19 20:00:00")) for i in (1, 2, 3)]), feeds).collect()}
+    assert got == {1: us(2025, 8, 19, 20), 2: us(2025, 8, 19, 17), 3: us(2025, 8, 19, 20)}
+
+
 def test_entries_of_an_empty_table(spark):
     assert log_entries(_log(spark, [])).count() == 0
 
@@ -113,6 +137,11 @@ def test_exactly_once(spark):
     assert sorted(r["delivery_id"] for r in surplus.collect()) == [1, 3, 10, 11]
     assert sorted(r["delivery_id"] for r in kept.collect()) == [2, 4, 5, 6, 7, 8, 9, 12, 13, 14, 15, 16]
     assert exactly_once(_alerts(spark, []), feeds)[1].count() == 0
+    # a second run: copies of what is stored are surplus even if received earlier, a message of several alerts is kept
+    more = [(20, 1, 1, -9, _am("ab12", "2025-08-30T10:00:01Z")), (21, 2, 1, 9, _sentry("0f-ab")), (22, 2, 1, 8, _sentry("0fab")), (23, 2, 1, 8, _sentry("0faa")), (24, 1, 1, 8, {"alerts": [{"fingerprint": "ab12", "startsAt": "2025-08-30T10:00:00Z"}] * 2})]
+    again, dropped = exactly_once(_alerts(spark, more), feeds, stored=kept)
+    assert sorted(r["delivery_id"] for r in dropped.collect()) == [20, 21, 23] and sorted(r["delivery_id"] for r in again.collect()) == [22, 24]
+    assert exactly_once(_alerts(spark, []), feeds, stored=kept)[0].count() == 0
 
 
 def test_hot_identifier(spark):
@@ -124,6 +153,24 @@ def test_hot_identifier(spark):
     assert sorted(r["id"] for r in kept.collect()) == sorted(first.values()) and surplus.count() == 3000 - len(first)
 
 
+def test_sieve_that_is_full_loses_nothing(spark, monkeypatch):
+    from faultline.operators import exactly_once as module
+
+    monkeypatch.setattr(module, "SIEVE_BITS", 8)
+    test_hot_identifier(spark)
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from faultline.session import checkpoint_dir
+
+    off = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="yarn", getConf=lambda: SimpleNamespace(get=lambda k: None), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: off)))
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc))
+
+
 def test_ids(spark):
     df = spark.createDataFrame([("AB-12",), ("xyz",), ("",), (None,), (" 0f ",)], "t string")
     assert [r[0] for r in df.select(canonical_id(F.col("t"))).collect()] == ["ab12", None, None, None, "0f"]
@@ -148,13 +195,6 @@ def test_schema_changes(spark):
     assert schema_changes(_alerts(spark, [])).count() == 0
 
 
-def test_consistent_table(spark):
-    rows = [(1, 1, 1, 0, {"alerts": [{"labels": {"svc": "a", "replicas": "many", "paging": "true"}}]}), (2, 1, 1, 0, {"tags": {"service": "b"}}), (3, 1, 1, 0, None)]
-    t = consistent_table(_alerts(spark, rows))
-    assert [(r["service"], r["paging"], r["failed"]) for r in t.orderBy("delivery_id").collect()] == [("a", True, ["replicas"]), ("b", None, []), (None, None, [])]
-    assert [tuple(r) for r in cast_report(t).collect()] == [(1, 1, "replicas", 1)]
-
-
 def test_whole_table_has_every_path_and_value(spark):
     rows = [(1, 1, 1, 0, {"alerts": [{"fingerprint": "f1", "labels": {"svcX": "pay", "replicas": 3}}, {"fingerprint": "f2", "labels": {"svcX": "gw", "replicas": "many"}}], "A": 1}),
             (2, 1, 2, 0, {"alerts": [{"fingerprint": "f3", "labels": {"neverListed": "pay", "replicas": 4}}], "a": 1.5, "on": True}), (3, 1, 3, 0, {"n": None, "on": "maybe", "id": 12345678901234567890}), (4, None, None, 0, {"lost": ["x", "y"]}), (5, 1, 3, 0, None)]
