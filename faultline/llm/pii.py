@@ -23,14 +23,16 @@ _ODD, _PLAIN = "\u00a0\u2007\u2009\u202f\u2010\u2011\u2012\u2013\u2212", "    --
 _EVEN = str.maketrans(_ODD, _PLAIN)
 
 KINDS = ("email", "phone", "person_id", "address", "name")
-#: Longest segment in characters and name in tokens: the bounds of the dynamic programme.
-LONGEST, NAME_TOKENS = 160, 5
+#: Longest segment in characters (a mail address has at most 320) and longest name in tokens: the bounds of the dynamic programme.
+LONGEST, NAME_TOKENS = 320, 5
 
 # Words that stand before a name and are no part of its core.
 TITLES = set("mr mrs ms miss dr prof sir herr herrn frau fräulein г-н г-на г-ну г-жа г-жи г-же гр господин госпожа mr. mrs. ms. dr. prof.".split())
 # Log levels and abbreviations that are written in capitals.
 CAPITALS = set("trace trc debug dbg info inf notice warn warning wrn error err severe fatal critical crit panic alert emerg sms kyc ssn инн снилс id http "
                "https json url api sql get put post delete order by select from where null z utc msk cest cet est edt qq qv xj zx jvm cpu io db".split())
+#: Shorter and longer bounds tried for one pattern match, besides the match itself.
+MOST_CUTS = 6
 
 _LOCAL = r"[\p{L}\p{N}](?:[\p{L}\p{N}._+-]*[\p{L}\p{N}])?"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
@@ -79,6 +81,9 @@ _NEXT = regex.compile(r"^[\s»“”\"'’)\],;:.]*([\p{L}][\p{L}-]*|\d)?")
 _TLD = regex.compile(r"(?i)(?:\.|dot[)\]]? ?|\(punkt\) ?)\p{L}{2,}$")
 _AT = regex.compile(r"(?i)@|%40|[(\[{]at[)\]}]| at ")
 _RUN, _LATIN, _LETTERS = regex.compile(r"\d+"), regex.compile(r"[A-Z]+"), regex.compile(r"[\p{L}-]+")
+_LABEL_SEAM, _DIGIT_SEAM, _COMMA_SEAM = regex.compile(r"\. ?(?=\p{L})"), regex.compile(r"(?<=\d)[ ./-]+(?=[\d(+])"), regex.compile(r", ?")
+_PHONE_PART = regex.compile(r"(?:\+ ?|\()?\d[\d ()./-]{5,24}\d")
+_ENDS, _GOES_ON = regex.compile(r"[\d)][ ./-]?$"), regex.compile(r"[ ./-]?[\d(]|, ?[\p{Lu}\d]")
 _LAST_WORD = regex.compile(r"([\p{L}-]+)\.? ?[«„'\"‘]?$")
 # Letters that a text must hold, in lower case, before a pattern is tried on it.
 _EMAIL_SIGNS = {"@": ["@"], " @ ": [" @ "], "%40": ["%40"], "(at)": ["at)", "at]", "at}", "собака)"], "at": [" dot "]}
@@ -106,7 +111,7 @@ def may_hold(text: str = "text") -> Column:
     more = F.octet_length(t) != F.char_length(t)  # letters or signs beyond ASCII
     any_of = lambda words, t=t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
     n_digits = lambda x: F.char_length(F.regexp_replace(x, r"[^0-9]+", ""))
-    number = F.exists(F.regexp_extract_all(t, F.lit(_DIGITS.pattern), F.lit(0)), lambda x: n_digits(x).between(7, 16) & ~x.rlike(_DATE.pattern))
+    number = F.exists(F.regexp_extract_all(t, F.lit(_DIGITS.pattern), F.lit(0)), lambda x: (n_digits(x) >= 7) & ~x.rlike(_DATE.pattern))
     return (t.rlike(_SIGN_NAME) | (F.contains(t, F.lit("@")) & t.rlike(_SIGN_EMAIL)) | any_of(["%40", "at)", "at]", "at}", "собака)", " dot "], low)
             | (any_of(_ID_SIGNS, low) & t.rlike(_SIGN_ID)) | t.rlike(_FORM_ID.pattern) | number
             | (any_of(_DE_PARTS) & t.rlike(_SIGN_STREET_DE)) | t.rlike(_SIGN_STREET_EN)
@@ -150,38 +155,61 @@ def _grouping(span: str) -> str:
     return _RUN.sub(lambda m: str(len(m.group())), span)
 
 
+def _cuts(text: str, a: int, b: int, at: regex.Pattern, fits) -> list[tuple[int, int]]:
+    """The span a..b and the shorter ones that begin or end at a separator matched by `at` and for which `fits` holds, at most MOST_CUTS: which of them is
+    the segment is left to the scores."""
+    out = [(a, b)]
+    seams = [(m.start(), m.end()) for m in at.finditer(text, a, b)]
+    for x, y in [(a, s) for s, _ in reversed(seams)] + [(e, b) for _, e in seams]:
+        if len(out) > MOST_CUTS:
+            break
+        if x < y and fits(text[x:y]):
+            out.append((x, y))
+    return out
+
+
+def _edge(text: str, a: int, b: int) -> str:
+    """Whether what stands next to a segment would go on with it."""
+    before, after = text[max(0, a - 2):a], text[b:b + 3]
+    return f"edge={bool(_ENDS.search(before))}{bool(_GOES_ON.match(after))}"
+
+
 def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[str]]]:
-    """(start, end, kind, features) of every segment considered."""
+    """(start, end, kind, features) of every segment considered. Matches of the patterns are cut at their separators in several ways, so that bounds, too, are
+    chosen by the scores."""
     out: list[tuple[int, int, str, list[str]]] = []
     low = text.lower()
     for form, pattern in _EMAIL_RE:
         if any(x in low for x in _EMAIL_SIGNS[form]):
             for m in pattern.finditer(text):
-                tld = _TLD.search(_AT.split(m.group())[-1])
-                out.append((m.start(), m.end(), "email", [f"form={form}", f"tld={bool(tld)}", "then=:" if text[m.end():m.end() + 1] == ":" and text[m.end() + 1:m.end() + 2].strip() else "then="]))
+                for a, b in _cuts(text, *m.span(), _LABEL_SEAM, pattern.fullmatch):
+                    tld = _TLD.search(_AT.split(text[a:b])[-1])
+                    out.append((a, b, "email", [f"form={form}", f"tld={bool(tld)}", f"whole={(a, b) == m.span()}", f"gap={'. ' in text[a:b]}", "then=:" if text[b:b + 1] == ":" and text[b + 1:b + 2].strip() else "then="]))
     for m in _DIGITS.finditer(text):
-        a, b = m.span()
-        span = m.group()
-        # a closing bracket or separator at the end is not part; an unopened bracket neither
-        digits = sum(c.isdigit() for c in span)
-        if not 7 <= digits <= 16 or span.count("(") != span.count(")") or _DATE.search(span):
+        if _DATE.search(m.group()):
             continue
-        g = _grouping(span)
-        feats = [f"digits={digits}", f"group={g}", f"lead={span.lstrip('( ')[:2] if span.lstrip('( ')[:1] in '+08' else 'd'}", f"plus={span[0] == '+'}",
-                 f"bare={span.isdigit()}", *_around(text, a, b)]
-        out.append((a, b, "phone", feats))
+        unopened = m.group()[0] == "(" and m.group().count("(") > m.group().count(")")  # the bracket belongs to the text around
+        for a, b in _cuts(text, m.start() + unopened, m.end(), _DIGIT_SEAM, _PHONE_PART.fullmatch):
+            span = text[a:b]
+            digits = sum(c.isdigit() for c in span)
+            if not 7 <= digits <= 16 or span.count("(") != span.count(")"):
+                continue
+            out.append((a, b, "phone", [f"digits={digits}", f"group={_grouping(span)}", f"lead={span.lstrip('( ')[:2] if span.lstrip('( ')[:1] in '+08' else 'd'}", f"plus={span[0] == '+'}",
+                                        f"bare={span.isdigit()}", _edge(text, a, b), *_around(text, a, b)]))
     for m in _FORM_ID.finditer(text):
         g = _LATIN.sub("L", _grouping(m.group()))
         out.append((*m.span(), "person_id", [f"group={g}", *_around(text, *m.span())]))
     if any(x in low for x in _ID_SIGNS):
         for m in _LABELLED_ID.finditer(text):
-            digits = sum(c.isdigit() for c in m.group())
             word = _LETTERS.match(m.group()).group().casefold()
-            out.append((*m.span(), "person_id", [f"word={word}", f"enough={7 <= digits <= 14}"]))
+            for a, b in _cuts(text, *m.span(), _DIGIT_SEAM, _LABELLED_ID.fullmatch):
+                digits = sum(c.isdigit() for c in text[a:b])
+                out.append((a, b, "person_id", [f"word={word}", f"enough={7 <= digits <= 14}", _edge(text, a, b)]))
     for lang, pattern in _ADDRESS.items():
         if any(x in low for x in _STREET_SIGNS[lang]):
             for m in pattern.finditer(text):
-                out.append((*m.span(), "address", [f"lang={lang}", *_around(text, *m.span())]))
+                for a, b in _cuts(text, *m.span(), _COMMA_SEAM, pattern.fullmatch):
+                    out.append((a, b, "address", [f"lang={lang}", f"whole={(a, b) == m.span()}", _edge(text, a, b), *_around(text, a, b)]))
     _name_candidates(text, lexicon, out)
     return out
 

@@ -15,7 +15,9 @@ from pathlib import Path
 
 from faultline.llm import pii
 
-SEED, N_TEXTS, EPOCHS, RATE, DECAY = 7, 9000, 10, 0.12, 1e-4
+SEED, N_TEXTS, EPOCHS, RATE, DECAY = 7, 12000, 8, 0.12, 1e-4
+#: How much the ending of a word may speak against a name at most.
+LEAST_ENDING = -1.0
 #: Share of the invented names that the lexicon knows while learning.
 KNOWN = 0.3
 
@@ -35,15 +37,20 @@ def _d(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
-def name(r: random.Random, lang: str) -> str:
-    g, f = r.choice(GIVEN[lang]), r.choice(FAMILY[lang])
+def part(r: random.Random, words: list[str], held: bool) -> str:
+    """A name part: one in five is only ever in held-out texts."""
+    return r.choice([w for i, w in enumerate(words) if (i % 5 == 3) == held])
+
+
+def name(r: random.Random, lang: str, held: bool = False) -> str:
+    g, f = part(r, GIVEN[lang], held), part(r, FAMILY[lang], held)
     if lang == "ru":
         p = r.choice(PATRONYMIC)
         x = r.choice([f"{f} {g}", f"{g} {f}", f"{f} {g} {p}", f"{g} {p} {f}", f"{f} {g[0]}.{p[0]}.", f"{g[0]}. {f}", f"{f} {g[0]}. {p[0]}.", f"{g[0]}.{p[0]}. {f}", f"{f} {g[0]}."])
     else:
         m = r.choice("ABCDEFGKLMRST")
         if r.random() < 0.2:
-            f += "-" + r.choice(FAMILY[lang])
+            f += "-" + part(r, FAMILY[lang], held)
         x = r.choice([f"{g} {f}", f"{g} {f}", f"{g} {m}. {f}", f"{g[0]}. {f}", f"{f}, {g}", f"{g[0]}. {m}. {f}", f"{f}, {g[0]}."])
     if r.random() < 0.12 and "." not in x:
         x = x.upper()
@@ -94,33 +101,51 @@ def address(r: random.Random, lang: str) -> str:
     return r.choice([x, f"{x}, Apt {n % 60}", f"Flat {n % 60}, {x}", f"{x}, {t}", f"{x}, {t}, QV{n % 30} {n % 9}VX", f"{x}, {t} XJ{n % 30} 1KJ"])
 
 
-# Carriers: {n} name, {e} email, {p} phone, {i} person_id, {a} address. Fixed values of the training sample.
+# Carriers: {n} name, {e} email, {p} phone, {i} person_id, {a} address. Fixed values of the training sample: sentences of offices, shops, clinics and schools,
+# none of which is taken from the tables that the operator is run on.
 CARRIERS = {
-    "en": ["Caller Mr {n} reported a double charge.", "Customer {n} ({e}) cannot log in.", "contact card of Dr {n} was shown to another tenant", "Escalated by {n}, reachable at {p} or {e}.",
-           "escalated by '{n}', reachable at {p} or {e}", "Manual verification of {i} requested by agent {n}.", "KYC mismatch, {i}, holder {n}", "note from support: name: {n}; phone: {p}; address: {a}.", "Parcel rerouted from {a} to {a}.",
-           "Duplicate profile merged, contact {e}, backup {e}.", "SMS to {p} not accepted by provider", "Callback requested on {p} after failed charge.", "Refund confirmation bounced for {e}.", "Identity check failed for {i}.",
-           "client Ms {n} left number {p} for follow-up", "caller Mr '{n}' reported a double charge", "user={e} rejected", "ticket opened by {n} on behalf of {n}", "user {n} asked to change phone {p}", "please ship to {a}", "{n} called again", "Delivery to {a} rejected by route planner.",  "mail from {e} bounced"],
-    "ru": ["Звонил клиент {n}, номер {p}, деньги списаны дважды.", "Получатель {n}, почта {e}.", "Получатель «{n}», почта {e}", "Оператор: {n}; документ клиента {i}.", "Сообщил г-н {n}, живёт: {a}.", "Смс на {p} не ушла.",
-           "Дубль профиля, контакты {e} и {p}.", "В заявке указан {i}, проверка не прошла", "Доставка по адресу {a} отменена.", "Перенос доставки с {a} на {a}.", "Письмо на {e} вернулось с ошибкой", "Обратилась г-жа {n}", "Заявитель {n}, телефон {p}", "клиентка {n} не может войти", "Клиентка г-жа {n} просит перезвонить: {p}."],
-    "de": ["Kunde Herr {n} meldet doppelte Abbuchung.", "Ansprechpartner: {n}; {i}.", "Ansprechpartner: „{n}“; {i}", "Rückruf an {p} gewünscht.", "Prüfung zu {i} fehlgeschlagen", "Mail an {e} kam zurück.", "Lieferung an {a} abgelehnt.", "Umleitung von {a} nach {a}.",
-           "Kontakt: Frau {n}, {p}, {e}.", "Kundin Frau {n} wartet", "Sachbearbeiter {n} hat bestätigt", "Adresse {a}, Tel. {p}"],
+    "en": ["Good morning, Mr {n} would like a window seat.", "Tenant {n} ({e}) lost the key to the cellar.", "the folder of Dr {n} lay open at the counter", "Reserved by {n}; ring {p} or write to {e}.", "reserved by '{n}', ring {p} or write to {e}",
+           "Please copy {i} for the visa of {n}.", "Loan form, {i}, borrower {n}", "member: {n}; phone: {p}; address: {a}.", "The piano goes from {a} to {a}.", "Two library cards share {e} and {e}.", "A text to {p} never arrived", "Call back on {p} before noon.", "Newsletter for {e} came back.",
+           "The notary wants {i} again.", "patient Ms {n} gave the number {p} for emergencies", "guest Mr '{n}' asked for an iron", "login={e} locked", "form filled in by {n} for {n}", "student {n} wants to replace {p} on file", "the sofa belongs at {a}", "{n} rang twice", "The courier found nobody at {a}.",
+           "letter from {e} unread", "Mrs {n} moved out of {a} in spring", "Signed: {n}, {i}", "Invitation sent to {n} <{e}>.", "[{n}] checked in at nine", "author {n} wrote to {e}, no reply", "Witness: {n}. Home: {a}. Mobile: {p}.", "ask {n} whether {p} still works", "passenger={n} seat=12A",
+           "tell Prof {n} that {e} is full", "buyer {n}, {a}, {p}", "User {n} with {i} stood in line", "contact: {n} / {p} / {e}", "\"{n}\" paid the fine", "phone {p}, mail {e}", "Ship the lamp to {a}, attention {n}.", "coach {n} met {n} and {n} at {a}", "The baker {n} ({p}) is closed", "Singer {n} ({e}) cancelled", "Painter {n} rents {a}", "(call {p})", "Plumber {n} came", "neighbour {n} ({p}, {e})", "(see {e})", "caretaker {n} - {p}"],
+    "ru": ["Пришёл читатель {n}, телефон {p}, книгу не нашёл.", "Жилец {n}, почта {e}.", "Жилец «{n}», почта {e}", "Врач: {n}; полис и {i}.", "Заявила г-жа {n}, прописана: {a}.", "Сообщение на {p} не пришло.", "Две карточки, адреса {e} и {p}.", "Для визы нужен {i}, копию приложить",
+           "Пианино везут по адресу {a} завтра.", "Переезд с {a} на {a}.", "Рассылка на {e} не доставлена", "Позвонила г-жа {n}", "Ученик {n}, мобильный {p}", "пассажирка {n} потеряла чемодан", "Арендатор г-н {n} ждёт звонка: {p}.", "Свидетель {n}, {i}, проживает {a}", "нотариус {n} принял {i}", "Тренер {n} и врач {n} уехали.",
+           "Письмо для {n}: {e}", "контакт {n}, {p}, {e}", "Курьер не нашёл {a}", "Абонент {p} вне сети", "Автор «{n}» прислал рукопись", "Садовник {n} – {p}",
+           "Швея {n} звонит", "Повар {n} ({p})", "Бухгалтер {n} в отпуске", "Певица {n} ({e})", "Пекарь {n} видел: {n}", "Художник {n}, {a}", "Сторож {n} спит", "Ветеринар {n} принимает на {a}"],
+    "de": ["Mieter Herr {n} sucht den Kellerschlüssel.", "Trainer: {n}; {i}.", "Trainer: „{n}“; {i}", "Bitte um Anruf unter {p}.", "Für das Visum fehlt {i}", "Der Rundbrief an {e} blieb liegen.", "Das Klavier steht noch in {a}.", "Umzug von {a} nach {a}.", "Gast: Frau {n}, {p}, {e}.", "Patientin Frau {n} kommt später",
+           "Notar {n} hat unterschrieben", "Wohnt in {a}, Telefon {p}", "Zeugin {n}, {i}, Anschrift {a}", "Autor {n} schrieb an {e}", "Schüler {n} und Schülerin {n} fehlen.", "Mobil {p}, Post {e}", "Das Paket liegt bei {n}, {a}", "Gärtner {n} - {p}", "[{n}] ist angekommen", "Fahrgast {n} ohne Karte",
+           "Die Schneiderin {n} ruft an", "der Bäcker {n} ({p})", "Bäckerin {n} hat Urlaub", "unsere Buchhalterin {n} fehlt", "Sängerin {n} ({e})", "Hausmeister {n}: {p}", "Pförtner {n} sah {n}", "Köchin {n} ({p}) kocht", "Tierärztin {n} in {a}", "Maler {n}, {a}"],
 }
-NOUNS = "Payment Gateway Velora Cache Route Table Halden Stand Mill Street Token Broker Order Service Ledger Writer Stock Reader Quota Guard Signal Board Ferry Panel Quarry Job Retry Loop Pool Keeper Batch Runner Invoice Worker Session Store Search Proxy Access Control Load Balancer Data Center Status Page Control Plane Grafana Kafka Topic Redis Cluster Linux Kernel Java Heap Python Monday March June Release Build Version Region North South Team Platform Group Incident Report".split()
-DECOYS = ["{W} {W} and {W} {W} restarted.", "worker road-{2} joined {W} {W} group", "{W} Street dashboard panel {2} has no data", "Build {1}.{2}.{5} rolled out on {W} {W}.", "Order-2026-{7} moved to state HELD.", "offsets {5}-{5}-{7} committed for group ledger",
-          "Batch id {16} has no matching rows.", "Document series {7} archived, pages {1}.", "fetch git@mirror-{2}:tools/route failed", "scp deploy@stage-node-{2} finished in {1} s", "Session Session@{8} dropped by peer.", "mapping @timestamp to field time", "node 10.4.{2}.7 lost lease {5}",
-          "txn_{5} retried on node rowan-{2}", "request_id={8}-{4}-{4}-{4}-{12} took {5} ms", "snapshot of 2026-01-15 03:00:00 loaded, rows {5}", "deadline 2026-03-01 00:00:00 missed for job {5}", "pool.py:{1} in acquire, waiters {5}", "{W} {W} has no owner",
-          "time 17{8}.{3} lag {5} ms", "2026-0{1}-1{1} 12:{2}:{2} ERROR {W} {W} timed out", "203.0.113.{2} - - [01/Jan/2025:02:{2}:12 +0100] \"GET /api/refunds/{4} HTTP/1.1\" 404 {5}", "In {W} {W} the limit was {5}", "Owner of the fix is the platform group; the follow-up is due {W}.",
-          "Стек заканчивается в {W}.java:{4}, вызов пришёл из {W}.", "На узле prod-node-{2} кончилось место: ротация была отключена с {W}.", "Die Störung fiel erst auf, als {W} um 0{1}:{2} Anfragen abwies.", "card {4}-{4} ends, code {7}", "checksum {8}{8} differs from manifest", "Herr {W} fehlt im Cluster {W}",
-          "Panel {2} Road Map updated", "version {1}.{2}.{3} build {10}", "{2}.{2}.20{2} 1{1}:{2}:{2} [pool-{1}-thread-{2}] INFO org.tarnfell.pay.{W} - lease renewed for {2} s", "8{2}3#0: *{4} {W} Street dashboard panel {2} has no data", "[{W} {W}] ok", "epoch {10} and {13}", "retry at 12 March for {W} {W}", "The {W} {W} of payment-api ran out at 10:{2} and {4} requests waited."]
+#: Carriers and decoys of the held-out test: never trained on.
+HELD_CARRIERS = {
+    "en": ["the flute teacher, {n}, lives at {a}", "Museum ticket for {n} sent to {e}.", "dial {p} after the tone", "We copied {i} at the desk.", "owner of the boat: {n} ({p})", "yesterday {n} forgot an umbrella", "Kindly forward {e} to the printer", "meet me at {a}"],
+    "ru": ["Скрипач {n} живёт на {a}", "Билет в музей для {n} ушёл на {e}.", "наберите {p} после сигнала", "Сняли копию: {i}.", "хозяйка лодки: {n} ({p})", "вчера {n} забыл зонт"],
+    "de": ["die Flötenlehrerin {n} wohnt in {a}", "Museumskarte für {n} ging an {e}.", "nach dem Ton {p} wählen", "Wir haben {i} kopiert.", "Bootsbesitzer: {n} ({p})", "gestern vergass {n} den Schirm"],
+}
+NOUNS = ("Gateway Cache Route Table Stand Street Token Broker Order Service Ledger Writer Stock Reader Quota Guard Signal Board Panel Job Retry Loop Pool Keeper Batch Runner Invoice Worker Session Store Search Proxy Access Control Load Balancer Data Center Status Page Plane Grafana "
+         "Kafka Topic Redis Cluster Linux Kernel Java Heap Python Monday March June Release Build Version Region North South Team Platform Group Incident Report Payment Billing Queue Thread Socket Bucket Index Shard Replica Leader Follower Node Pod Container Image Registry Pipeline "
+         "Stage Deploy Rollback Canary Metric Alert Rule Dashboard Trace Span Request Response Header Cookie Server Client Backend Frontend Database Schema Migration Backup Snapshot Restore Volume Disk Memory Timeout Limit Error Warning Critical Notice Connection Handler Listener Scheduler "
+         "Manager Factory Builder Parser Loader Monitor Agent Collector Exporter Partition Offset Consumer Producer Event Message Customer Delivery Shipping Refund Checkout Cart Catalog Profile Account Login Password Certificate Key Secret Vault Zone Host Port Network Firewall Router Switch").split()
+PLACES = "Kettle Harrow Lantern Bracken Amber Falcon Willow Copper Juniper Marlow Sable Tundra Vesper Onyx Quartz Zephyr Aurora Nimbus Orion Titan".split()
+DECOYS = ["{W} {W} and {W} {W} came back.", "worker lane-{2} left the {W} {W} pool", "{W} Street overview tile {2} shows nothing", "Package {1}.{2}.{5} installed on {W} {W}.", "Ticket-2026-{7} went to state OPEN.", "positions {5}-{5}-{7} stored for shelf ledger", "Carton id {16} is not on the list.",
+          "Archive series {7} bound, volumes {1}.", "cloning git@forge-{2}:libs/paint failed", "rsync backup@vault-box-{2} ended in {1} s", "Socket Socket@{8} closed by peer.", "field @version copied to field rev", "box 10.7.{2}.9 gave up lease {5}", "job_{5} moved to machine maple-{2}", "request_id={8}-{4}-{4}-{4}-{12} needed {5} ms",
+          "dump of 2026-01-15 03:00:00 read, lines {5}", "due 2026-03-01 00:00:00 passed for task {5}", "store.py:{1} in flush, waiters {5}", "{W} {W} lacks an owner", "time 17{8}.{3} drift {5} ms", "2026-0{1}-1{1} 12:{2}:{2} ERROR {W} {W} gave up", "203.0.113.{2} - - [01/Jan/2025:02:{2}:12 +0100] \"GET /books/{4} HTTP/1.1\" 404 {5}",
+          "In {W} {W} the ceiling was {5}", "The fix belongs to the kiln group; more on {W}.", "Трасса кончается в {W}.java:{4}, зовёт {W}.", "На машине kiln-{2} нет места с {W}.", "Erst um 0{1}:{2} bemerkte {W} die leere Liste.", "part {4}-{4} sold, tag {7}", "digest {8}{8} is not equal", "Im Verbund {W} fehlt {W}",
+          "Tile {2} {W} Map redrawn", "edition {1}.{2}.{3} print {10}", "{2}.{2}.20{2} 1{1}:{2}:{2} [pool-{1}-thread-{2}] INFO org.kiln.{W} - lease kept for {2} s", "8{2}3#0: *{4} {W} tile {2} is blank", "[{W} {W}] done", "epoch {10} and {13}", "again at 12 March for {W} {W}", "The {W} {W} of kiln-api ended at 10:{2} with {4} in line.",
+          "{K} {W} and {K} {W} are healthy", "{K} {W} restarted on {K}", "moved {K} {W} to {W} {W}", "panel {K} {W} shows {2} rows", "{W} {K} is read only", "offset {8} lag {10}", "sha {10}{4} size {9}", "id={8} seq={7} ts={13}", "sum {4}.{2} pieces {7}", "ref {3}-{3}-{4}-{5} parsed", "sku {2}-{4}-{6}", "call {W}.{W} at {W}.java:{3}",
+          "took {2}.{3} s, {7} bytes", "port {5} of 10.{2}.{2}.{2}", "retry {1} of {1} after {3} ms", "serial {4} {4} {4} printed", "lot {9} of batch {11}", "booklet {10} shelved", "crate {4}/{2}-{3} sealed", "ids: {7}, {8}, {9}", "checksum={8} crc={10}", "build-{8}-{6} uploaded", "At {W}, {W} took over from {W}.", "{W} and {W}: {W} {W}, {W} {W}"]
+HELD_DECOYS = ["the {W} {W} lost its {W}", "crate {9} weighs {3} kg", "{K} {W} runs edition {1}.{2}", "pulled git@attic-{2}:maps/town", "row {7} of {8} at {2}:{2}:{2}", "entry {12} not in the index", "{W} {W} is slow since {W}", "stall {2} Market Map drawn", "10.9.{2}.{2} answered in {3} ms", "span {8}-{4}-{4} of {W}"]
 _KIND = {"n": "name", "e": "email", "p": "phone", "i": "person_id", "a": "address"}
 
 
-def compose(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
-    """One labelled text."""
+def compose(r: random.Random, held: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+    """One labelled text; `held`: from carriers, decoys and names that training never sees."""
     text, gold = "", []
+    carriers, decoys = (HELD_CARRIERS, HELD_DECOYS) if held else (CARRIERS, DECOYS)
     for _ in range(r.choice([1, 1, 2, 3])):
         lang = r.choice(["en", "ru", "de"])
-        pattern = r.choice(DECOYS) if r.random() < 0.45 else r.choice(CARRIERS[lang])
+        pattern = r.choice(decoys) if r.random() < 0.5 else r.choice(carriers[lang])
         if pattern[0].isupper() and r.random() < 0.3:
             pattern = pattern[0].lower() + pattern[1:]
         at = 0
@@ -130,11 +155,13 @@ def compose(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
                 key, at = pattern[at + 1:pattern.index("}", at)], pattern.index("}", at) + 1
                 if key == "W":
                     text += r.choice(NOUNS)
+                elif key == "K":
+                    text += r.choice(PLACES)
                 elif key.isdigit():
                     text += _d(r, int(key))
                 else:
                     kind = _KIND[key]
-                    x = email(r) if kind == "email" else {"name": name, "phone": phone, "person_id": person_id, "address": address}[kind](r, lang)
+                    x = email(r) if kind == "email" else name(r, lang, held) if kind == "name" else {"phone": phone, "person_id": person_id, "address": address}[kind](r, lang)
                     gold.append((len(text), len(text) + len(x), kind))
                     text += x
             else:
@@ -207,17 +234,18 @@ def train(seed: int = SEED, n: int = N_TEXTS, epochs: int = EPOCHS) -> dict[str,
                 if abs(step) > 1e-4:
                     for f in fs:
                         w[f] += rate * (step - DECAY * w[f])
-    # a word by itself may speak against a name, never for one: names must carry over to others
+    # a word by itself may speak against a name, never for one, and an ending only so much against one: names must carry over to others
+    w = {f: max(x, LEAST_ENDING) if f.startswith("name end=") else x for f, x in w.items()}
     return {f: round(x, 3) for f, x in sorted(w.items()) if abs(x) > 0.05 and not (" w=" in f and x > 0)}
 
 
 def evaluate(w: dict[str, float], seed: int = 99, n: int = 1500) -> dict[str, tuple[float, float]]:
-    """(precision, recall) by kind on texts drawn anew, whole segments of equal bounds and kind."""
+    """(precision, recall) by kind on held-out texts: other carriers, decoys and names than trained on; whole segments of equal bounds and kind."""
     r = random.Random(seed)
     lexicon = pii.Lexicon({x for v in GIVEN.values() for x in v if r.random() < KNOWN}, {x for v in FAMILY.values() for x in v if r.random() < KNOWN})
     got, true, both = Counter(), Counter(), Counter()
     for _ in range(n):
-        text, gold = compose(r)
+        text, gold = compose(r, held=True)
         found = pii.best_segments(text, lexicon, w)
         got.update(k for *_, k in found)
         true.update(k for *_, k in gold)
