@@ -92,7 +92,7 @@ class BpeAutomaton:
             until_a, a = self.time[a], self.right[a]
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one pre-split word."""
+        """Ids of one pre-split word. A byte that the vocabulary has no token for is an error."""
         n = len(word)
         last, begin = [-1] * (n + 1), [0] * (n + 1)
         move, accept, opened = self.move, self.accept, self.open
@@ -118,6 +118,8 @@ class BpeAutomaton:
                         continue
                 last[k + 1], begin[k + 1] = t, j
         out = []
+        if n and last[n] < 0:
+            raise ValueError(f"the vocabulary has no tokens for {word!r}")
         while n:
             out.append(last[n])
             n = begin[n]

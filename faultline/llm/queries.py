@@ -35,15 +35,28 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+#: Tokenizers that the specifications may name; more is an error.
+MOST_TOKENIZERS = 100
+
+
 def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     specs = table(spark, sf_dir, "pack_specs")
-    docs = table(spark, sf_dir, "documents")
-    names = [r[0] for r in specs.select("tokenizer").distinct().limit(100).collect()]
+    return place(table(spark, sf_dir, "documents"), specs), specs
+
+
+def place(docs: DataFrame, specs: DataFrame) -> DataFrame:
+    """The containers of every row of `specs`, each measured in tokens of its own tokenizer. No specifications give no rows; one without a tokenizer, or more
+    than MOST_TOKENIZERS of them, is an error."""
+    names = [r[0] for r in specs.select("tokenizer").distinct().limit(MOST_TOKENIZERS + 1).collect()]
+    if len(names) > MOST_TOKENIZERS or None in names:
+        raise ValueError(f"specifications name no tokenizer or more than {MOST_TOKENIZERS}")
+    if not names:
+        return pack(docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens")), specs)
     parts = [pack(cut(token_counts(docs, name)), specs.where(F.col("tokenizer") == name)) for name in names]
     placed = parts[0]
     for p in parts[1:]:
         placed = placed.unionByName(p)
-    return placed, specs
+    return placed
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,17 @@
 import base64
 import itertools
 import random
+from http import HTTPStatus
 from pathlib import Path
 
 import pytest
+import regex as re
 from pyspark.sql import functions as F
 
 from faultline.llm import bpe_automaton, packing, pii, pii_train, residue, tokens
-from faultline.llm.queries import QUERIES
+from faultline.llm.queries import QUERIES, place
+
+import held_residue
 
 VOCAB = tokens.vocabulary_path("byte_bpe_50k")
 needs_vocab = pytest.mark.skipif(not Path(VOCAB).exists(), reason="no vocabulary files")
@@ -45,6 +49,14 @@ def test_automaton_equals_merging():
             assert auto.encode_word(bytes(w)) == merge(bytes(w)), bytes(w)
 
 
+def test_bytes_without_a_token_are_an_error():
+    auto = bpe_automaton.BpeAutomaton({b"a": 0, b"b": 1, b"ab": 2}, [(b"a", b"b")])
+    assert auto.encode_word(b"") == () and auto.encode_word(b"abb") == (2, 1)
+    for word in (b"a~b", b"~", b"ab~"):
+        with pytest.raises(ValueError):
+            auto.encode_word(word)
+
+
 @needs_vocab
 def test_ids_equal_the_public_library():
     tiktoken = pytest.importorskip("tiktoken")
@@ -98,6 +110,22 @@ def test_packing_places_everything_once(spark, window):
     assert packing.pack(df.limit(0), specs).count() == 0
 
 
+def test_specifications(spark):
+    schema = "spec_id int, tokenizer string, capacity int"
+    docs = _docs(spark, ["a b c", None, "d"])
+    assert place(docs, spark.createDataFrame([], schema)).count() == 0
+    for rows in ([(1, None, 10)], [(i, f"t{i}", 10) for i in range(101)]):
+        with pytest.raises(ValueError):
+            place(docs, spark.createDataFrame(rows, schema))
+
+
+@needs_vocab
+def test_containers_are_full(spark):
+    """At sf0.1, at most one container in 200 more than the tokens need at least."""
+    for r in QUERIES["p7_report"](spark, "/root/testdata/sf0.1").collect():
+        assert r["containers"] <= r["fewest"] * 1.005 + 1, r
+
+
 RESIDUE = {
     "page": ["404 Not Found\n\ngateway/1.2.3", "ops wiki\nYou need to enable JavaScript to run this app.", "<html><head><title>502 Bad Gateway</title></head><body><center><h1>502 Bad Gateway</h1></center></body></html>",
              '{"error": "Service Unavailable", "code": 503, "request": "63deb8ef"}', "Сессия истекла. Войдите снова.", "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an."],
@@ -108,8 +136,25 @@ RESIDUE = {
 }
 
 
+def test_residue_of_unseen_wording(spark):
+    """Texts in no exemplar and no table: at least nine in ten are found, and content that talks about such things stays."""
+    index = residue.build_index(*residue.document_frequencies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    label = lambda ts: [residue.residue_label(t, index) is not None for t in ts]
+    for texts in (held_residue.PAGES, held_residue.FILLER, held_residue.MARKS):
+        assert sum(label(texts)) >= 0.9 * len(texts), [t for t, hit in zip(texts, label(texts)) if not hit]
+    assert sum(label(held_residue.CONTENT)) <= 1
+
+
+def test_exemplars_are_not_in_the_tables(spark):
+    """No exemplar of three words or more is found for standing in the tables itself; status phrases and printers' dummy text are common property."""
+    common = {s.phrase for s in HTTPStatus} | {x for x in residue.X.FILLER if residue.stems(x.lower())[:1] in (["lorem"], ["ut"], ["duis"], ["except"])}
+    texts = " ".join(r[0].lower() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect())
+    same = [t for label, t in residue.EXEMPLARS if label in ("page", "filler") and t not in common and len(t.split()) >= 6 and t.lower() in texts]
+    assert not same
+
+
 def test_residue_labels(spark):
-    index = residue.build_index({"the": 900, "of": 700, "is": 400, "service": 300, "error": 300}, 1000)
+    index = residue.build_index({"the": 900, "of": 700, "is": 400, "servic": 300, "error": 300}, 1000)
     for label, texts in RESIDUE.items():
         for t in texts:
             assert residue.residue_label(t, index) == label, t
@@ -121,7 +166,7 @@ def test_residue_labels(spark):
 
 def test_pii_held_out_accuracy():
     for kind, (precision, recall) in pii_train.evaluate(pii.weights(), seed=123, n=400).items():
-        assert min(precision, recall) > (0.8 if kind == "address" else 0.95), (kind, precision, recall)
+        assert min(precision, recall) > 0.9, (kind, precision, recall)
 
 
 def test_marginals_agree_with_enumeration():
@@ -155,6 +200,28 @@ def test_pii_examples(spark):
     assert out[6] == "Lieferung an <address> abgelehnt." and out[12] == "" and out[13] is None and out[8] == PII[8][0]
 
 
+def test_bounds_are_chosen_among_cuts():
+    lex = pii.Lexicon()
+    spans = lambda t: [t[a:b] for a, b, _ in pii.find(t, lex)]
+    assert spans("Boat owner (8 924 465 7831) waits") == ["8 924 465 7831"]
+    assert spans("write to ann.low@inbox.invalid. Gestern war nichts") == ["ann.low@inbox.invalid"]
+    long = "a" * 400 + "@mail.example"
+    assert not any(b - a > pii.LONGEST for a, b, _ in pii.find(long, lex))
+
+
+def test_training_texts_are_not_in_the_tables(spark):
+    """No carrier or decoy stands in the tables with all its literal parts of six letters or more."""
+    raw = spark.read.parquet("/root/testdata/sf0.01/log_lines.parquet").select("raw").where("raw is not null").distinct()
+    kb = spark.read.parquet("/root/testdata/sf0.01/kb_incidents.parquet").select(F.explode(F.array("symptoms", "root_cause")).alias("raw")).where("raw is not null")
+    texts = [r[0].lower() for r in raw.union(kb).collect()]
+    lifted = []
+    for c in [x for v in pii_train.CARRIERS.values() for x in v] + pii_train.DECOYS:
+        parts = [p.lower() for p in re.split(r"\{\w+\}", c) if len(re.findall(r"\p{L}", p)) >= 6]
+        if parts and any(all(p in t for p in parts) for t in texts):
+            lifted.append(c)
+    assert not lifted
+
+
 def test_tests_in_the_jvm_lose_nothing(spark):
     r = random.Random(11)
     texts = [pii_train.compose(r)[0] for _ in range(1500)]
