@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,7 +50,8 @@ _DATE = regex.compile(r"(?<!\d)(?:\d\d\.\d\d\.(?:19|20)\d\d|(?:19|20)\d\d[-/.]\d
 _WORD_ID = (r"(?i:(?:passport|pass|паспорт\w*|снилс|инн|ssn|social security|tax id|nino|national insurance|steuer-?(?:id|nummer)|steuernummer|sozialversicherungsnummer|"
             r"personalausweis\w*|ausweis(?:-?nr\.?|nummer|es)?|reisepass\w*|identity card|id card|удостоверени\w+)(?: (?:no\.?|nr\.?|number|nummer|№|номер|серия))?)")
 _LABELLED_ID = regex.compile(_WORD_ID + r"\s?[:=#№]?\s?(?=[\p{L}\d-]*\d)[\p{Lu}\d][\p{Lu}\d-]*(?: [\d-]{2,7}){0,5}(?: [A-D]\b)?")
-_FORM_ID = regex.compile(r"(?<![\p{L}\p{N}_.+-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{2} ?\d{2} \d{6}|\d{4} №? ?\d{6})(?![\p{L}\p{N}_-])")
+_FORM = (r"(?<![\p{L}\p{N}_.+-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{2} ?\d{2} \d{6}|\d{4} №? ?\d{6})(?![\p{L}\p{N}_-])")
+_FORM_ID = re.compile(_FORM.replace(r"\p{L}\p{N}_", r"\w"))
 _CAP = r"\p{Lu}[\p{L}’'-]*"
 # Words for streets.
 _STREET_EN = r"(?:Street|St\b\.?|Lane|Ln\b\.?|Road|Rd\b\.?|Avenue|Ave\b\.?|Drive|Dr\b\.|Close|Court|Ct\b\.?|Crescent|Cres\b\.?|Way|Square|Sq\b\.?|Place|Pl\b\.|Terrace|Boulevard|Blvd\b\.?|Row|Walk|Gardens|Grove|Hill|Mews|Parade|Park|Quay)"
@@ -113,7 +116,7 @@ def may_hold(text: str = "text") -> Column:
     n_digits = lambda x: F.char_length(F.regexp_replace(x, r"[^0-9]+", ""))
     number = F.exists(F.regexp_extract_all(t, F.lit(_DIGITS.pattern), F.lit(0)), lambda x: (n_digits(x) >= 7) & ~x.rlike(_DATE.pattern))
     return (t.rlike(_SIGN_NAME) | (F.contains(t, F.lit("@")) & t.rlike(_SIGN_EMAIL)) | any_of(["%40", "at)", "at]", "at}", "собака)", " dot "], low)
-            | (any_of(_ID_SIGNS, low) & t.rlike(_SIGN_ID)) | t.rlike(_FORM_ID.pattern) | number
+            | (any_of(_ID_SIGNS, low) & t.rlike(_SIGN_ID)) | t.rlike(_FORM) | number
             | (any_of(_DE_PARTS) & t.rlike(_SIGN_STREET_DE)) | t.rlike(_SIGN_STREET_EN)
             | (more & (t.rlike(f"[{_ODD}]") | t.rlike(r"[\p{Nd}&&[^0-9]]") | t.rlike("[а-я]") & t.rlike(_SIGN_STREET_RU))))
 
@@ -155,10 +158,24 @@ def _grouping(span: str) -> str:
     return _RUN.sub(lambda m: str(len(m.group())), span)
 
 
+def _plain(text: str) -> str:
+    """The text with spaces and hyphens of other widths made plain; positions hold."""
+    return text if text.isascii() else text.translate(_EVEN)
+
+
+def _has(low: str, signs: list[str]) -> bool:
+    for x in signs:
+        if x in low:
+            return True
+    return False
+
+
 def _cuts(text: str, a: int, b: int, at: regex.Pattern, fits) -> list[tuple[int, int]]:
     """The span a..b and the shorter ones that begin or end at a separator matched by `at` and for which `fits` holds, at most MOST_CUTS: which of them is
     the segment is left to the scores."""
     out = [(a, b)]
+    if b - a < 13 and text[a:b].isdigit():
+        return out
     seams = [(m.start(), m.end()) for m in at.finditer(text, a, b)]
     for x, y in [(a, s) for s, _ in reversed(seams)] + [(e, b) for _, e in seams]:
         if len(out) > MOST_CUTS:
@@ -180,7 +197,7 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
     out: list[tuple[int, int, str, list[str]]] = []
     low = text.lower()
     for form, pattern in _EMAIL_RE:
-        if any(x in low for x in _EMAIL_SIGNS[form]):
+        if _has(low, _EMAIL_SIGNS[form]):
             for m in pattern.finditer(text):
                 for a, b in _cuts(text, *m.span(), _LABEL_SEAM, pattern.fullmatch):
                     tld = _TLD.search(_AT.split(text[a:b])[-1])
@@ -191,7 +208,7 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
         unopened = m.group()[0] == "(" and m.group().count("(") > m.group().count(")")  # the bracket belongs to the text around
         for a, b in _cuts(text, m.start() + unopened, m.end(), _DIGIT_SEAM, _PHONE_PART.fullmatch):
             span = text[a:b]
-            digits = sum(c.isdigit() for c in span)
+            digits = len(span) if span.isdigit() else sum(map(str.isdigit, span))
             if not 7 <= digits <= 16 or span.count("(") != span.count(")"):
                 continue
             out.append((a, b, "phone", [f"digits={digits}", f"group={_grouping(span)}", f"lead={span.lstrip('( ')[:2] if span.lstrip('( ')[:1] in '+08' else 'd'}", f"plus={span[0] == '+'}",
@@ -199,14 +216,15 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
     for m in _FORM_ID.finditer(text):
         g = _LATIN.sub("L", _grouping(m.group()))
         out.append((*m.span(), "person_id", [f"group={g}", *_around(text, *m.span())]))
-    if any(x in low for x in _ID_SIGNS):
+    if _has(low, _ID_SIGNS):
         for m in _LABELLED_ID.finditer(text):
             word = _LETTERS.match(m.group()).group().casefold()
             for a, b in _cuts(text, *m.span(), _DIGIT_SEAM, _LABELLED_ID.fullmatch):
                 digits = sum(c.isdigit() for c in text[a:b])
                 out.append((a, b, "person_id", [f"word={word}", f"enough={7 <= digits <= 14}", _edge(text, a, b)]))
+    latin = text.isascii()
     for lang, pattern in _ADDRESS.items():
-        if any(x in low for x in _STREET_SIGNS[lang]):
+        if not (latin and lang == "ru") and _has(low, _STREET_SIGNS[lang]):
             for m in pattern.finditer(text):
                 for a, b in _cuts(text, *m.span(), _COMMA_SEAM, pattern.fullmatch):
                     out.append((a, b, "address", [f"lang={lang}", f"whole={(a, b) == m.span()}", _edge(text, a, b), *_around(text, a, b)]))
@@ -279,7 +297,7 @@ def best_segments(text: str, lexicon: Lexicon, w: dict[str, float]) -> list[tupl
 
 def find(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     """Segments of one text. Null, empty and blank texts have none."""
-    return best_segments(text.translate(_EVEN), lexicon, weights()) if text and text.strip() else []
+    return best_segments(_plain(text), lexicon, weights()) if text and text.strip() else []
 
 
 def redact(text: str | None, lexicon: Lexicon) -> str | None:
@@ -312,17 +330,20 @@ def occurrences(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """field_name, rec_id, kind, occ_no of each occurrence. Texts that cannot hold a candidate are left out in the JVM; no shuffle.
 
     Null, empty and blank texts have none; repeated rows count each; an empty table gives none."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for field, rec, text in zip(b["field_name"], b["rec_id"], b["text"]):
-                seen = dict.fromkeys(KINDS, 0)
+            at, kinds, numbers = [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                seen: dict[str, int] = {}
                 for _, _, k in find(text, lexicon):
-                    seen[k] += 1
-                    rows.append((field, rec, k, seen[k]))
-            yield pd.DataFrame(rows, columns=["field_name", "rec_id", "kind", "occ_no"])
-
-    return texts.where(may_hold()).mapInPandas(run, "field_name string, rec_id bigint, kind string, occ_no int")
+                    seen[k] = seen.get(k, 0) + 1
+                    at.append(i)
+                    kinds.append(k)
+                    numbers.append(seen[k])
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(kinds, pa.string()), pa.array(numbers, pa.int32())], names=["field_name", "rec_id", "kind", "occ_no"])
+
+    return texts.where(may_hold()).select("field_name", "rec_id", "text").mapInArrow(run, "field_name string, rec_id bigint, kind string, occ_no int")
 
 
 def masked(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
