@@ -1,8 +1,8 @@
 """Lines of any mix of formats to records: stitching, format dispatch, field extraction, filters.
 
 Input lines: src, entry (a file, or a member of an archive), origin, line_no, text. Every line's start test and time search happen once, before the
-shuffle. Lines are distributed by (src, entry, block); a running last-value names the record each line belongs to, and only the lines at a block's
-head that belong to an earlier block's record, at most `max_record_lines` per block, take part in a second, small window per file.
+shuffle, and so do the tests that rule a record out by its first line. Lines are distributed by (src, entry, block) and put together to records within their
+block, in the same shuffle; only the first and the last record of a block, which may go on in the next, take part in a second, small grouping by file.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from faultline.session import fence
 BLOCK_LINES = 8192
 
 # Keys of JSON and key=value records, in order of preference.
-TIME_KEYS = "timestamp time @timestamp ts date datetime eventTime event_time asctime".split()
-LEVEL_KEYS = "level severity lvl loglevel log_level levelname levelName status".split()
-MESSAGE_KEYS = "message msg log short_message event text error err exception body".split()
-SOURCE_KEYS = "logger logger_name loggerName source caller component service app application container kubernetes.container_name name".split()
-TRACE_KEYS = "trace_id traceId traceID request_id requestId requestID correlation_id correlationId x-request-id rquid rqUID span_id spanId req_id".split()
-STATUS_KEYS = "status_code statusCode http_status response_code".split()
+TIME_KEYS = ["timestamp", "time", "@timestamp", "ts", "date", "datetime", "eventTime", "event_time", "asctime"]
+LEVEL_KEYS = ["level", "severity", "lvl", "loglevel", "log_level", "levelname", "levelName", "status"]
+MESSAGE_KEYS = ["message", "msg", "log", "short_message", "event", "text", "error", "err", "exception", "body"]
+SOURCE_KEYS = ["logger", "logger_name", "loggerName", "source", "caller", "component", "service", "app", "application", "container", "kubernetes.container_name", "name"]
+TRACE_KEYS = ["trace_id", "traceId", "traceID", "request_id", "requestId", "requestID", "correlation_id", "correlationId", "x-request-id", "rquid", "rqUID", "span_id", "spanId", "req_id"]
+STATUS_KEYS = ["status_code", "statusCode", "http_status", "response_code"]
 # Patterns of the formats.
 ACCESS = r"^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+\"([A-Z]+)\s+(\S+)[^\"]*\"\s+(\d{3})\s+(\d+|-)"
 PAIR = r"([A-Za-z_][\w.\-]*)=(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[^\s]*)"
@@ -64,29 +64,55 @@ def with_start(lines: DataFrame) -> DataFrame:
     return df.withColumn("start", start)
 
 
-def stitch(lines: DataFrame, config: EngineConfig = EngineConfig(), block_lines: int = BLOCK_LINES) -> DataFrame:
-    """One row per record: src, entry, origin, line_no, first_line, time_text, time_end, raw (its lines, at most max_record_lines), n_lines (kept).
-
+def ruled_out(level: str | None = None, since: str | None = None, until: str | None = None) -> Column:
+    """Whether the first line of a record, as with_start() gives it, says for certain that the record lies below `level` or outside the window. What is not
+    certain stays: JSON, access and key=value lines, lines whose level is not the first word after the time, times with an offset or in other notations."""
+    out = F.lit(False)
+    # with fewer than two '=' a line is no key=value record; its level and time are those at its head
+    free = (F.char_length("text") - F.char_length(F.replace("text", F.lit("="), F.lit(""))) < 2) & ~F.ltrim("text").startswith("{")
+    if level:
+        low = [w for w, x in levels.LEVEL_WORDS.items() if levels.LEVEL_ORDER.index(x) < levels.LEVEL_ORDER.index(level)]
+        first = r"(?i)^[ \t]*\[?(?:" + "|".join(sorted(low, key=lambda w: (-len(w), w))) + r")(?![\w])"
+        out = out | F.expr("substr(text, time_end + 1, 20)").rlike(first)
+    if since or until:
+        # wall-clock readings without an offset, and those marked Z, compare as text
+        plain = F.col("time_text").rlike(r"^\d{4}[-/]\d\d[-/]\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?Z?$")
+        at = F.translate(F.substring("time_text", 1, 19), "/T", "- ")
+        whole = lambda x: (x.replace("T", " ") + "0000-01-01 00:00:00"[len(x):])[:19]
+        out = out | (plain & (at < whole(since) if since else F.lit(False))) | (plain & (at > whole(until) if until else F.lit(False)))
+    return F.coalesce(free & out, F.lit(False))
+
+
+def stitch(lines: DataFrame, config: EngineConfig = EngineConfig(), block_lines: int = BLOCK_LINES, level: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One row per record: src, entry, origin, line_no, first_line, time_text, time_end, raw (its lines; cut only as `config` says), tail, n_lines (kept).
+
+    Records that are ruled_out() by their first line are left out before they are put together; the filters of the parsed records decide on the rest.
     The first line of a file begins a record. Null and blank lines are dropped; an empty table gives no rows; other columns are ignored."""
-    d = with_start(lines.select("src", "entry", "origin", "line_no", F.substring("text", 1, config.max_line_chars).alias("text")).where("trim(text) <> ''"))
-    d = d.withColumn("block", F.expr(f"line_no div {block_lines}"))
-    w = Window.partitionBy("src", "entry", "block").orderBy("line_no")
-    d = d.withColumn("rec", F.last(F.when(F.col("start"), F.col("line_no")), True).over(w)).withColumn("at", F.row_number().over(w))
-    d = d.withColumn("since", F.row_number().over(Window.partitionBy("src", "entry", "block", "rec").orderBy("line_no"))).where(f"since <= {config.max_record_lines}")
-    d = d.withColumn("newest", F.max("rec").over(Window.partitionBy("src", "entry", "block")))
-    own = d.where("rec is not null")
-    # lines at the head of a block, after the last start of an earlier block
-    v = Window.partitionBy("src", "entry").orderBy("line_no")
-    edge = d.where("rec is null or (start and line_no = newest)").withColumn("rec2", F.last("rec", True).over(v))
-    edge = edge.withColumn("first", F.first("line_no").over(v)).where("rec is null").withColumn("rec", F.coalesce("rec2", "first")).drop("rec2", "first")
-    every = own.unionByName(edge)
-    rows = every.groupBy("src", "entry", "rec").agg(
-        F.min("origin").alias("origin"), F.array_sort(F.collect_list(F.struct("line_no", "text", "time_text", "time_end"))).alias("x"))
-    rows = rows.withColumn("x", F.slice("x", 1, config.max_record_lines))
-    return rows.select("src", "entry", "origin", F.col("rec").alias("line_no"), F.trim(F.col("x")[0]["text"]).alias("first_line"),
-                       F.col("x")[0]["time_text"].alias("time_text"), F.col("x")[0]["time_end"].alias("time_end"),
-                       F.array_join(F.transform("x", lambda l: l["text"]), "\n").alias("raw"),
-                       F.array_join(F.transform(F.slice("x", 2, config.max_record_lines), lambda l: l["text"]), "\n").alias("tail"), F.size("x").alias("n_lines"))
+    text = F.substring("text", 1, config.max_line_chars) if config.max_line_chars else F.col("text")
+    d = with_start(lines.select("src", "entry", "origin", "line_no", text.alias("text")).where(F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) != ""))
+    d = d.withColumns({"block": F.expr(f"line_no div {block_lines}"), "out": F.col("start") & ruled_out(level, since, until)})
+    block = Window.partitionBy("src", "entry", "block")
+    d = d.withColumns({"head": F.last(F.when(F.col("start"), F.struct("line_no", "out")), True).over(block.orderBy("line_no")), "newest": F.max(F.when(F.col("start"), F.col("line_no"))).over(block)})
+    if level or since or until:
+        # of what is left out only the last start of a block stays, without its text: lines of the next block may belong to it
+        d = d.where("head is null or not head.out or line_no = newest").withColumn("text", F.when(F.col("head.out"), F.lit("")).otherwise(F.col("text")))
+    p = d.groupBy("src", "entry", "block", F.col("head.line_no").alias("rec")).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "text", "time_text", "time_end"))).alias("x"), F.min("origin").alias("origin"), F.bool_or("head.out").alias("out"), F.max("newest").alias("last"))
+    body = ["src", "entry", "rec", "origin", "x"]
+    inner = p.where("rec < last and not out").select(*body)
+    # the lines before the first start of a block belong to the last record of a block before it
+    v = Window.partitionBy("src", "entry").orderBy("block", F.col("rec").asc_nulls_first())
+    edge = p.where("rec is null or rec = last")
+    edge = edge.withColumns({"of": F.coalesce(F.last("rec", True).over(v), F.first(F.col("x")[0]["line_no"]).over(v)), "gone": F.coalesce(F.last("out", True).over(v), F.lit(False))})
+    joined = edge.where("not gone").groupBy("src", "entry", F.col("of").alias("rec")).agg(F.min("origin").alias("origin"), F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    rows = inner.select(*body).unionByName(joined.select(*body))
+    if config.max_record_lines:
+        rows = rows.withColumn("x", F.slice("x", 1, config.max_record_lines))
+    first = F.col("x")[0]
+    whole = lambda x: F.array_join(F.transform(x, lambda l: l["text"]), "\n")
+    return rows.select("src", "entry", "origin", F.col("rec").alias("line_no"), F.trim(first["text"]).alias("first_line"), first["time_text"].alias("time_text"),
+                       first["time_end"].alias("time_end"), whole(F.col("x")).alias("raw"),
+                       F.when(F.size("x") > 1, whole(F.slice("x", F.lit(2), F.size("x")))).otherwise("").alias("tail"), F.size("x").alias("n_lines"))
 
 
 def parse(records: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -128,7 +154,8 @@ def parse(records: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
         .when(F.col("fmt") == "logfmt", F.concat(F.coalesce(F.concat("said", F.lit(" ")), F.lit("")), left("kv", skip_kv)))
         .otherwise(F.btrim("rest", F.lit(" \t|:-[]"))))
     df = df.withColumn("message", message)
-    df = df.withColumn("message", F.when(F.col("n_lines") > 1, F.substring(F.concat("message", F.lit(" | "), F.trim("tail")), 1, 4000)).otherwise(F.col("message")))
+    longer = F.concat("message", F.lit(" | "), F.trim("tail"))
+    df = df.withColumn("message", F.when(F.col("n_lines") > 1, F.substring(longer, 1, config.max_message_chars) if config.max_message_chars else longer).otherwise(F.col("message")))
     raw4 = F.substring("raw", 1, 400)
     level = F.coalesce(
         F.when(F.col("access"), levels.level_of_status(F.col("status"))).when(F.col("m").isNotNull(), norm_level(_get(LEVEL_KEYS))).otherwise(norm_level(F.col("word"))),
@@ -139,15 +166,20 @@ def parse(records: DataFrame, config: EngineConfig = EngineConfig()) -> DataFram
         F.substring(_get(TRACE_KEYS), 1, 64), F.nullif(F.regexp_extract(F.substring("raw", 1, 1000), TRACE_TEXT, 1), F.lit(""))))
     df = df.withColumn("until", F.lit(config.now_us + 86_399_999_999))
     df = df.select(*base, "fmt", "level", "message", "source", "trace", "status", "when", "until")
-    df = instants.with_instant(df, "when", "cast(null as string)", "until", "us").withColumnRenamed("us_known", "tz_known")
+    df = instants.with_instant(df, "when", "cast(null as string)", "until", "us", odd_zone_is_local=True).withColumnRenamed("us_known", "tz_known")
     df = fence(df, "us", "tz_known", "level", "message", "source", "trace", "status", "fmt")
     return df.select(*[c for c in base if c != "tail"], F.expr("cast(timestamp_micros(us) as timestamp_ntz)").alias("ts"), "tz_known", "level",
                      levels.level_rank(F.col("level")).cast("int").alias("level_rank"), "message", "source", "trace", "status", "fmt")
 
 
-def read_records(lines: DataFrame, config: EngineConfig = EngineConfig(), block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Stitched and parsed."""
-    return parse(stitch(lines, config, block_lines), config)
+def read_records(lines: DataFrame, config: EngineConfig = EngineConfig(), block_lines: int = BLOCK_LINES, level: str | None = None, since: str | None = None,
+                 until: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Stitched, parsed and filtered: a level or above, a window of time, a pattern. What the first line of a record rules out is never parsed."""
+    stitched = stitch(lines, config, block_lines, level, since, until)
+    records = parse(grep(stitched, pattern) if pattern else stitched, config)
+    if level:
+        records = at_least(records, level)
+    return within(records, since, until) if since or until else records
 
 
 def at_least(records: DataFrame, level: str) -> DataFrame:
@@ -168,15 +200,3 @@ def within(records: DataFrame, since: str | None = None, until: str | None = Non
 def grep(records: DataFrame, pattern: str) -> DataFrame:
     """Records whose raw text matches, in any case."""
     return records.where(F.col("raw").rlike("(?iuU)" + pattern))
-
-
-def could_match(stitched: DataFrame, level: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Stitched records that may pass the filters of the parsed ones: applied before parsing, never drops a record that would pass.
-
-    A level is only ruled out where the raw text shows no sign of it: no word, number or status of that level or above, and no exception."""
-    df = grep(stitched, pattern) if pattern else stitched
-    if level:
-        rank = levels.LEVEL_ORDER.index(level)
-        signs = "|".join(w for w, x in levels.LEVEL_WORDS.items() if levels.LEVEL_ORDER.index(x) >= rank)
-        df = df.where(F.col("raw").rlike(rf"(?i)(?:{signs}|erro|\d|\b[ewid]\b|exception|timeout|failure|fault|denied|refused|throwable|traceback)"))
-    return df
