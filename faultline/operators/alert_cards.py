@@ -9,8 +9,8 @@ from faultline.functions.instants import with_instant
 from faultline.session import fence
 
 # Labels that carry the stand and the service, most telling first, and spellings of stands.
-STAND_KEYS = "stand env environment deployment_environment".split()
-SERVICE_KEYS = "service service_name app application job component project".split()
+STAND_KEYS = ["stand", "env", "environment", "deployment_environment"]
+SERVICE_KEYS = ["service", "service_name", "app", "application", "job", "component", "project"]
 STAND_ALIASES = {"production": "prod", "prd": "prod", "staging": "stage", "stg": "stage", "testing": "test", "qa": "test", "development": "dev", "devel": "dev"}
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from faultline.functions import text as tx
 from faultline.functions.levels import LEVEL_ORDER
-from faultline.session import fence
 
 WARN = LEVEL_ORDER.index("WARN") + 1
 #: Bucket widths in minutes from which a histogram of a span is drawn.
@@ -14,17 +14,26 @@ BUCKETS = [1, 5, 15, 30, 60, 180, 720, 1440]
 
 
 def groups(records: DataFrame) -> DataFrame:
-    """One row per level and template: count, first and last time, whether all zones are known, the first record's text, sources and origins; `n` numbers them
-    in report order: warnings and above first, then by count, level and first occurrence. Records are combined before the shuffle; the numbering
-    sorts groups, not records."""
+    """One row per level and template: count, first and last time, whether all zones are known, the first record's text, number of sources; `n` numbers them
+    in report order: warnings and above first, then by count, level and first occurrence. Records are combined before the shuffle, by source first, so that sources are counted exactly; the
+    numbering sorts groups, not records."""
     at = F.struct("src", "entry", "line_no")
-    g = tx.with_template(records).groupBy("level", "level_rank", "template").agg(
+    key = ["level", "level_rank", "template"]
+    part = tx.with_template(records).groupBy(*key, "source").agg(
         F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.bool_and(F.when(F.col("ts").isNotNull(), F.col("tz_known"))).alias("tz_known"),
-        F.min_by(F.substring("raw", 1, 4000), at).alias("sample"), F.min(at).alias("at"), F.approx_count_distinct("source").alias("sources"), F.collect_set("origin").alias("origins"))
+        F.min(F.struct(at.alias("at"), F.col("raw").alias("raw"))).alias("first"))
+    g = part.groupBy(*key).agg(F.sum("count").alias("count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.bool_and("tz_known").alias("tz_known"),
+                               F.min("first").alias("first"), F.count("source").alias("sources"))
+    g = g.select(*key, "count", "first_ts", "last_ts", "tz_known", F.col("first.raw").alias("sample"), F.col("first.at").alias("at"), "sources")
     order = [(F.col("level_rank") >= WARN).desc(), F.col("count").desc(), F.col("level_rank").desc(), F.col("at").asc()]
     return g.withColumn("n", F.row_number().over(Window.orderBy(*order)))
 
 
+def group_origins(records: DataFrame) -> DataFrame:
+    """level, template, origin, count: the files of each group."""
+    return tx.with_template(records).groupBy("level", "template", "origin").agg(F.count(F.lit(1)).alias("count"))
+
+
 def group_sources(records: DataFrame) -> DataFrame:
     """level, template, source, count."""
     return tx.with_template(records).groupBy("level", "template", "source").agg(F.count(F.lit(1)).alias("count"))
@@ -32,7 +41,7 @@ def group_sources(records: DataFrame) -> DataFrame:
 
 def samples(records: DataFrame, template: str, level: str, most: int = 5) -> DataFrame:
     """The first records of one group."""
-    return fence(tx.with_template(records.where(F.col("level") == level)), "template").where(F.col("template") == template).orderBy("src", "entry", "line_no").limit(most)
+    return tx.with_template(records.where(F.col("level") == level)).where(F.col("template") == template).orderBy("src", "entry", "line_no").limit(most)
 
 
 def counts(records: DataFrame, by: str) -> DataFrame:
@@ -93,13 +102,55 @@ def signatures(records: DataFrame, most: int = 12) -> DataFrame:
     return every.where(F.col("ord") <= most).select("ord", "kind", "value", "count", "level")
 
 
-def parsed_artifact(records: DataFrame) -> DataFrame:
-    """One row `json`: the summary of a parse as a document, for later stages."""
+def containing(records: DataFrame, needle: str) -> DataFrame:
+    """All records that hold a text, such as a request id, in order of time, file and line; undated ones last."""
+    return records.where(F.contains("raw", F.lit(needle))).orderBy(F.col("ts").asc_nulls_last(), "origin", "line_no")
+
+
+#: Tables of a parse that later stages read, with their columns.
+ARTIFACT = {
+    "groups": "n int, level string, level_rank int, template string, count bigint, first_ts timestamp_ntz, last_ts timestamp_ntz, tz_known boolean, sources bigint, sample string",
+    "levels": "level string, count bigint", "formats": "fmt string, count bigint", "origins": "origin string, count bigint", "services": "source string, count bigint", "statuses": "status int, count bigint",
+    "exceptions": "exception string, count bigint", "histogram": "bucket timestamp_ntz, count bigint", "signatures": "ord int, kind string, value string, count bigint, level string",
+    "traces": "trace string, count bigint", "period": "records bigint, first_ts timestamp_ntz, last_ts timestamp_ntz, tz_known bigint, tz_unknown bigint, mixed boolean",
+}
+
+
+def artifact(records: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ARTIFACT, whole."""
+    t = {"groups": groups(records), "levels": counts(records, "level"), "formats": counts(records, "fmt"), "origins": counts(records, "origin"), "services": counts(records, "source"), "statuses": counts(records, "status"),
+         "exceptions": exception_counts(records), "histogram": histogram(records, 1, "WARN"), "signatures": signatures(records), "traces": counts(records.where(F.col("level_rank") > WARN), "trace"), "period": period(records)}
+    return {k: t[k].select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in columns.split(", ")]) for k, columns in ARTIFACT.items()}
+
+
+def write_artifact(records: DataFrame, folder: str) -> None:
+    """The tables of a parse as JSON lines, one folder each."""
+    for name, df in artifact(records).items():
+        df.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def read_artifact(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables that write_artifact() wrote, typed. A missing table or one with broken lines is an error."""
+    out = {}
+    for name, columns in ARTIFACT.items():
+        try:
+            df = spark.read.schema(columns + ", broken string").option("columnNameOfCorruptRecord", "broken").json(f"{folder}/{name}")
+        except AnalysisException as e:
+            raise ValueError(f"no parse in {folder}: {name} is missing") from e
+        if df.select("broken", columns.split(" ")[0]).where("broken is not null").limit(1).collect():
+            raise ValueError(f"no parse in {folder}: {name} is broken")
+        out[name] = df.drop("broken")
+    return out
+
+
+def parsed_artifact(records: DataFrame, top: int = 100) -> DataFrame:
+    """One row `json`: the summary of a parse as a document, with its `top` groups and exceptions and how many there are; write_artifact() holds all."""
     pack = lambda df, name: df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias(name))
-    g = groups(records).orderBy("n").limit(1000).drop("at", "sample", "origins")
-    parts = [pack(g, "groups"), pack(counts(records, "level"), "levels"), pack(counts(records, "fmt"), "formats"), pack(counts(records, "status"), "statuses"),
-             pack(counts(records, "source").limit(20), "services"), pack(exception_counts(records).limit(1000), "exceptions"), pack(histogram(records, 1, "WARN").orderBy("bucket"), "histogram"),
-             pack(signatures(records).orderBy("ord"), "signatures"), pack(period(records), "period")]
+    t = artifact(records)
+    first = {"groups": t["groups"].where(F.col("n") <= top).drop("sample").orderBy("n"), "exceptions": t["exceptions"].limit(top), "services": t["services"].limit(20), "origins": t["origins"].limit(top),
+             "traces": t["traces"].limit(10), "histogram": drawn_histogram(t["histogram"]).select("bucket", "minutes", "count").orderBy("bucket"), "signatures": t["signatures"].orderBy("ord")}
+    parts = [pack(first.get(k, df), k) for k, df in t.items()]
+    parts.append(t["groups"].agg(F.count(F.lit(1)).cast("string").alias("n_groups")))
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # one row each

@@ -58,3 +58,22 @@ def commits_in_window(commits: DataFrame, first: str | None, last: str | None, h
 def linked_commits(commits: DataFrame, touched: DataFrame) -> DataFrame:
     """Commits that touched a resolved file, by the first seven letters of their hash."""
     return commits.withColumn("h7", F.substring("hash", 1, 7)).join(touched.select(F.substring("hash", 1, 7).alias("h7")).distinct(), "h7", "left_semi").drop("h7")
+
+
+def exception_hits(exceptions: list[str], code_lines: DataFrame, most_classes: int = 6, most: int = 3) -> DataFrame:
+    """exception, path, line_no: where the short names of the first distinct exception classes stand in the code, the first `most` lines each. Names travel in the plan."""
+    names = list(dict.fromkeys(exceptions))[:most_classes]
+    if not names:
+        return code_lines.where("false").select(F.lit("").alias("exception"), "path", "line_no")
+    low = F.lower("text")
+    each = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(x.rsplit(".", 1)[-1].lower())), F.lit(x)) for x in names]))
+    w = Window.partitionBy("exception").orderBy("path", "line_no")
+    d = code_lines.select(F.explode(each).alias("exception"), "path", "line_no")
+    return d.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
+def changed_since(entries: DataFrame, touched: DataFrame) -> DataFrame:
+    """Knowledge-base entries of which a file (`files`) was changed by a commit after the day of the entry; `touched` has path and at. Undated entries are none."""
+    f = entries.where("date is not null").select("id", "date", F.explode("files").alias("path"))
+    hit = f.join(touched.groupBy("path").agg(F.max("at").alias("at")), "path").where("cast(at as date) > date").select("id").distinct()
+    return entries.join(hit, "id", "left_semi")

@@ -1,7 +1,8 @@
 """Log files as a data source: spark.read.format("loglines").option("paths", ...).load()
 
 Plain, gzip, bzip2, xz, lzma and zip files (each member its own entry), directories (only what looks like a log) and globs. One partition per file; rows are
-Arrow batches of src, entry, origin, line_no, text. A damaged file keeps the lines read before the damage and adds a row to the origin `<warning>`.
+Arrow batches of src, entry, origin, line_no, text. A damaged file keeps the lines read before the damage and adds a row of the origin `<warning>`, as does a pattern without a match;
+read_logs() leaves these out, log_warnings() gives them.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import io
 import lzma
 import os
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Endings of log files and archives, and names of system logs, which have none.
@@ -70,13 +72,13 @@ def _streams(path: str) -> Iterator[tuple[str, io.BufferedIOBase]]:
         yield base, f
 
 
-def read_lines(path: str, encoding: str = "utf-8", max_chars: int = 8192) -> Iterator[tuple[int, str, int, str]]:
-    """(entry, origin, line_no, text) of one file; undecodable bytes are replaced, lines are cut at `max_chars`."""
+def read_lines(path: str, encoding: str = "utf-8", max_chars: int = 0) -> Iterator[tuple[int, str, int, str]]:
+    """(entry, origin, line_no, text) of one file; undecodable bytes are replaced, lines are cut at `max_chars` if given."""
     entry = -1
     try:
         for entry, (origin, f) in enumerate(_streams(path)):
             for n, raw in enumerate(f, 1):
-                yield entry, origin, n, raw.decode(encoding, "replace").rstrip("\r\n")[:max_chars]
+                yield entry, origin, n, raw.decode(encoding, "replace").rstrip("\r\n")[:max_chars or None]
     except (OSError, EOFError, lzma.LZMAError, zipfile.BadZipFile) as e:
         yield max(entry, 0), "<warning>", 0, f"{os.path.basename(path)}: {type(e).__name__}: {e}"
 
@@ -89,18 +91,18 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.patterns = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-        self.encoding, self.max_chars = options.get("encoding", "utf-8"), int(options.get("maxlinechars", 8192))
-        self.max_lines = int(options.get("maxlines", 0))
+        self.encoding, self.max_chars = options.get("encoding", "utf-8"), int(options.get("maxlinechars", 0))
 
     def partitions(self):
-        return [_File(i, p) for i, p in enumerate(expand(self.patterns)[0])] or [_File(0, "")]
+        files, missing = expand(self.patterns)
+        return [_File(i, p) for i, p in enumerate(files)] + [_File(-1, p) for p in missing] or [_File(0, "")]
 
     def read(self, partition):
         rows: list[tuple] = []
-        if partition.path:
-            for k, (entry, origin, n, text) in enumerate(read_lines(partition.path, self.encoding, self.max_chars)):
-                if self.max_lines and k >= self.max_lines:
-                    break
+        if partition.src < 0:
+            rows.append((-1, 0, "<warning>", 0, f"{partition.path}: no such file"))
+        elif partition.path:
+            for entry, origin, n, text in read_lines(partition.path, self.encoding, self.max_chars):
                 rows.append((partition.src, entry, origin, n, text))
                 if len(rows) >= 8192:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
@@ -121,23 +123,45 @@ class LogLines(DataSource):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_logs(spark: SparkSession, paths: list[str], encoding: str = "utf-8", max_lines: int = 0) -> DataFrame:
-    """Lines of the files, with warnings (origin `<warning>`) among them."""
+def _load(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     from faultline.session import prepare
 
     prepare(spark)
     spark.dataSource.register(LogLines)
-    return spark.read.format("loglines").option("paths", ",".join(paths)).option("encoding", encoding).option("maxLines", max_lines).load()
+    return spark.read.format("loglines").option("paths", ",".join(paths)).option("encoding", encoding).load()
+
+
+def read_logs(spark: SparkSession, paths: list[str], encoding: str = "utf-8", max_lines: int = 0) -> DataFrame:
+    """Lines of the files, `-` being standard input; the first `max_lines` of all together, in the order of the files, if given."""
+    files = [p for p in paths if p != "-"]
+    out = _load(spark, files, encoding).where("origin <> '<warning>'") if files else None
+    if "-" in paths:
+        given = from_text(spark, sys.stdin.read().split("\n")).withColumn("src", F.lit(1 << 30))
+        out = given if out is None else out.unionByName(given)
+    if max_lines:
+        # one row per file: lines that come before it
+        sizes = sorted((r["src"], r["entry"], r["n"]) for r in out.groupBy("src", "entry").agg(F.max("line_no").alias("n")).collect())
+        before, keep = 0, []
+        for src, entry, n in sizes:
+            if before < max_lines:
+                keep.append((src, entry, min(n, max_lines - before)))
+            before += n
+        out = out.join(F.broadcast(spark.createDataFrame(keep, "src int, entry int, most bigint")), ["src", "entry"]).where("line_no <= most").drop("most")
+    return out
+
 
+def log_warnings(spark: SparkSession, paths: list[str], encoding: str = "utf-8") -> DataFrame:
+    """text of each warning: damaged files and patterns without a match."""
+    return _load(spark, [p for p in paths if p != "-"], encoding).where("origin = '<warning>'").select("text")
 
-def labelled(spark: SparkSession, sources: list[str]) -> DataFrame:
+
+def labelled(spark: SparkSession, sources: list[str], encoding: str = "utf-8") -> DataFrame:
     """Lines of sources given as label=path (or a path, whose name is the label), with a column `service`."""
     out = None
     for i, s in enumerate(sources):
         label, _, path = s.partition("=") if "=" in s else (os.path.splitext(os.path.basename(s))[0], "", s)
-        from pyspark.sql import functions as F
-
-        df = read_logs(spark, [path]).withColumn("src", F.lit(i)).withColumn("service", F.lit(label))
+        # files of one source keep different numbers
+        df = read_logs(spark, [path], encoding).withColumn("src", F.col("src") * len(sources) + i).withColumn("service", F.lit(label))
         out = df if out is None else out.unionByName(df)
     return out
 

@@ -11,8 +11,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 # Endings of code files, folders that hold none of our own.
-CODE_ENDINGS = tuple(".py .java .kt .kts .scala .go .rb .php .cs .rs .ts .tsx .js .jsx .mjs .cjs .c .h .cc .cpp .hpp .swift .m .sql .sh .yml .yaml .xml .properties .gradle".split())
-SKIP_FOLDERS = set("node_modules vendor dist build target out bin obj venv __pycache__ coverage third_party".split())
+CODE_ENDINGS = (".py", ".java", ".kt", ".scala", ".js", ".jsx", ".ts", ".tsx", ".go", ".rb", ".php", ".cs", ".rs", ".c", ".cc", ".cpp", ".h", ".hpp", ".sql", ".yaml", ".yml", ".json", ".xml",
+                ".properties", ".conf", ".toml", ".ini", ".sh", ".tf")
+SKIP_FOLDERS = {".git", "node_modules", "venv", ".venv", "env", "__pycache__", "dist", "build", "target", ".idea", ".gradle", "vendor", "coverage", ".next", ".tox", ".mypy_cache", ".pytest_cache"}
 MOST_BYTES = 2 << 20
 #: git processes an investigation may start for blame and history.
 GIT_CALLS = 12
@@ -53,9 +54,9 @@ def _git(root: str, *args: str) -> str:
         return ""
 
 
-def commits(spark: SparkSession, root: str, since: str | None = None, path: str | None = None, most: int = 5000) -> DataFrame:
-    """hash, at (UTC, to the minute), author, subject of the newest commits. Empty where there is no repository."""
-    out = _git(root, "log", f"-n{most}", "--date=iso-strict", "--pretty=%H%x1f%cd%x1f%an%x1f%s", *([f"--since={since}"] if since else []), *(["--", path] if path else []))
+def commits(spark: SparkSession, root: str, since: str | None = None, path: str | None = None) -> DataFrame:
+    """hash, at (UTC, to the minute), author, subject of all commits, or of those after `since`. Empty where there is no repository."""
+    out = _git(root, "log", "--date=iso-strict", "--pretty=%H%x1f%cd%x1f%an%x1f%s", *([f"--since={since}"] if since else []), *(["--", path] if path else []))
     rows = []
     for line in out.split("\n"):
         parts = line.split("\x1f")
@@ -65,6 +66,18 @@ def commits(spark: SparkSession, root: str, since: str | None = None, path: str
     return spark.createDataFrame(rows, "hash string, at timestamp_ntz, author string, subject string")
 
 
+def touched_files(spark: SparkSession, root: str) -> DataFrame:
+    """hash, at (UTC), path of every file that every commit changed. Empty where there is no repository."""
+    rows, head = [], None
+    for line in _git(root, "log", "--date=iso-strict", "--pretty=%x1f%H%x1f%cd", "--name-only").split("\n"):
+        if line.startswith("\x1f"):
+            _, h, at = line.split("\x1f")
+            head = (h, datetime.fromisoformat(at.replace("Z", "+00:00")).astimezone(timezone.utc).replace(tzinfo=None, second=0, microsecond=0))
+        elif line.strip() and head:
+            rows.append((*head, line.strip()))
+    return spark.createDataFrame(rows, "hash string, at timestamp_ntz, path string")
+
+
 class History:
     """Blame and history of files, at most GIT_CALLS processes, repeated questions answered from memory."""
 
@@ -79,6 +92,10 @@ class History:
             self.known[args] = _git(self.root, *args)
         return self.known[args]
 
+    def touched(self, path: str, since: str | None = None) -> list[str]:
+        """Hashes of the commits that changed a file, all or those after a day."""
+        return [x for x in self._ask("log", "--pretty=%H", *([f"--since={since} 23:59:59"] if since else []), "--", path).split("\n") if x]
+
     def blame(self, path: str, line: int) -> dict[str, str]:
         """hash, author and summary of the commit that last changed a line."""
         text = self._ask("blame", "-L", f"{line},{line}", "--porcelain", "--", path)
