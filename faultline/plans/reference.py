@@ -6,11 +6,14 @@ the columns: the SQL needs no parser and shares nothing with ours.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from faultline.config import EngineConfig
 from faultline.functions import scrub, text as tx
+from faultline.functions.instants import with_instant
 from faultline.operators import alert_cards, analyze, code, confidence, correlate, kb_search, records as rec
+from faultline.operators.exactly_once import split_by_frequency
+from faultline.operators.log_entries import log_entries
 from faultline.session import table
 
 
@@ -153,9 +156,8 @@ def signatures(spark, sf_dir):
 
 @query(_BASE + "SELECT count(*) AS n_records FROM r WHERE level = 'ERROR'")
 def filter_level(spark, sf_dir):
-    """errors, ruled out before parsing where the text shows no sign of one."""
-    s = rec.could_match(rec.stitch(rendered(spark, sf_dir)), "ERROR")
-    return rec.at_least(rec.parse(s), "ERROR").agg(F.count(F.lit(1)).alias("n_records"))
+    """errors; records whose first line names a lower level are never put together or parsed."""
+    return rec.read_records(rendered(spark, sf_dir), level="ERROR").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 @query(_BASE + "SELECT level, count(*) AS n_records FROM r WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-05 00:00:00') AND epoch_us(TIMESTAMP '2024-01-06 12:00:00') GROUP BY 1")
@@ -194,29 +196,14 @@ def trace_break_points(spark, sf_dir):
     return correlate.break_points(traced(spark, sf_dir)).select("key", _us("ts").alias("us"), "service", "line_no")
 
 
-@query("""WITH o AS (SELECT o_custkey AS key, 'orders' AS service, min(epoch_us(o_orderdate)) AS us FROM orders GROUP BY 1),
-l AS (SELECT o_custkey AS key, 'ship-' || CAST(l_linenumber AS VARCHAR) AS service, min(epoch_us(l_shipdate)) AS us FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 GROUP BY 1, 2),
-e AS (SELECT * FROM o UNION ALL SELECT * FROM l), d AS (SELECT x.service AS a, y.service AS b, (y.us - x.us) / 1000000.0 AS d FROM e x JOIN e y ON x.key = y.key AND x.service < y.service),
-m AS (SELECT a, b, count(*) AS n, median(d) AS m FROM d GROUP BY 1, 2)
-SELECT d.a, d.b, m.n, CAST(round(m.m) AS BIGINT) AS median_s, CAST(round(median(abs(d.d - m.m))) AS BIGINT) AS mad_s, median(abs(d.d - m.m)) <= greatest(abs(m.m) * 0.25, 0.5) AS systematic
-FROM d JOIN m USING (a, b) WHERE m.n >= 3 AND abs(m.m) >= 2 GROUP BY 1, 2, 3, m.m""")
-def clock_skew(spark, sf_dir):
-    """Median and spread of time differences between sources with shared keys."""
-    o = table(spark, sf_dir, "orders")
-    a = o.select(F.col("o_custkey").cast("string").alias("key"), F.lit("orders").alias("service"), F.col("o_orderdate").alias("ts"))
-    b = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").cast("string").alias("key"), F.concat(F.lit("ship-"), F.col("l_linenumber").cast("string")).alias("service"), F.col("l_shipdate").alias("ts"))
-    return correlate.clock_skew(a.unionByName(b)).select("a", "b", "n", F.round("median_s").cast("long").alias("median_s"), F.round("mad_s").cast("long").alias("mad_s"), "systematic")
-
-
 @query("""WITH o AS (SELECT o_custkey AS key, 'orders' AS service, min(epoch_us(o_orderdate)) AS us FROM orders GROUP BY 1),
 l AS (SELECT o_custkey AS key, 'ship-' || CAST(l_linenumber AS VARCHAR) AS service, min(epoch_us(l_shipdate)) AS us FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 e AS (SELECT * FROM o UNION ALL SELECT * FROM l), d AS (SELECT x.service AS a, y.service AS b, (y.us - x.us) / 1000000.0 AS d FROM e x JOIN e y ON x.key = y.key AND x.service < y.service),
 m AS (SELECT a, b, count(*) AS n, median(d) AS m FROM d GROUP BY 1, 2)
 SELECT d.a, d.b, m.n, CAST(round(m.m) AS BIGINT) AS median_s, CAST(round(median(abs(d.d - m.m))) AS BIGINT) AS mad_s, median(abs(d.d - m.m)) <= greatest(abs(m.m) * 0.25, 0.5) AS systematic
 FROM d JOIN m USING (a, b) WHERE m.n >= 3 AND abs(m.m) >= 2 GROUP BY 1, 2, 3, m.m""")
-def clock_skew_all(spark, sf_dir):
-    """The same over all lines of all orders, eight sources."""
+def clock_skew(spark, sf_dir):
+    """Median and spread of time differences between sources with shared keys, over all lines of all orders, eight sources."""
     o = table(spark, sf_dir, "orders")
     a = o.select(F.col("o_custkey").cast("string").alias("key"), F.lit("orders").alias("service"), F.col("o_orderdate").alias("ts"))
     b = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -314,19 +301,29 @@ def alert_incidents(spark, sf_dir):
     return c.withColumn("missing", F.array_join("missing", ",")).withColumn("since", _us("since")).withColumn("until", _us("until"))
 
 
+@query()
+def code_frames(spark, sf_dir):
+    """X11: frames of all seven expressions in all log lines, distinct by base and line."""
+    return code.frames(table(spark, sf_dir, "log_lines")).select("base", "line", "path", "symbol", "records")
+
+
 @query(r"""SELECT base, line, count(*) AS n_frames FROM (SELECT regexp_extract(x, '\(([\w$]+\.(?:java|kt|scala)):(\d+)\)', 1) AS base, CAST(regexp_extract(x, '\(([\w$]+\.(?:java|kt|scala)):(\d+)\)', 2) AS INTEGER) AS line
   FROM (SELECT unnest(regexp_extract_all(raw, 'at\s+[\w.$]+\.[\w$<>]+\([\w$]+\.(?:java|kt|scala):\d+\)')) AS x FROM log_lines)) GROUP BY 1, 2""")
-def code_frames(spark, sf_dir):
-    """X11: Java frames of all log lines."""
+def code_frames_java(spark, sf_dir):
+    """X11: Java frames of all log lines, every one counted."""
     pattern, path, line, _ = tx.FRAMES[0]
     x = F.arrays_zip(F.regexp_extract_all("raw", F.lit(pattern), path).alias("base"), F.regexp_extract_all("raw", F.lit(pattern), line).alias("line"))
     return table(spark, sf_dir, "log_lines").select(F.explode(x).alias("x")).select("x.base", F.col("x.line").cast("int").alias("line")).groupBy("base", "line").agg(F.count(F.lit(1)).alias("n_frames"))
 
 
-@query()
-def code_frames_all(spark, sf_dir):
-    """X11: frames of all seven expressions in all log lines, distinct by base and line."""
-    return code.frames(table(spark, sf_dir, "log_lines")).select("base", "line", "path", "symbol", "records")
+@query(r"""SELECT base, line, count(*) AS n_frames FROM (SELECT parse_filename(regexp_extract(x, 'File "([^"]+)", line (\d+)', 1)) AS base, CAST(regexp_extract(x, 'File "([^"]+)", line (\d+)', 2) AS INTEGER) AS line
+  FROM (SELECT unnest(regexp_extract_all(raw, 'File "[^"]+", line \d+')) AS x FROM log_lines)) GROUP BY 1, 2""")
+def code_frames_python(spark, sf_dir):
+    """X11: Python frames of all log lines, every one counted."""
+    pattern, path, line, _ = tx.FRAMES[1]
+    x = F.arrays_zip(F.regexp_extract_all("raw", F.lit(pattern), path).alias("path"), F.regexp_extract_all("raw", F.lit(pattern), line).alias("line"))
+    d = table(spark, sf_dir, "log_lines").select(F.explode(x).alias("x")).select(F.element_at(F.split("x.path", "/"), -1).alias("base"), F.col("x.line").cast("int").alias("line"))
+    return d.groupBy("base", "line").agg(F.count(F.lit(1)).alias("n_frames"))
 
 
 @query("SELECT p_brand AS base, p_size AS line, count(*) AS n FROM part GROUP BY 1, 2")
@@ -340,9 +337,10 @@ def code_join(spark, sf_dir):
 
 @query()
 def scrub_texts(spark, sf_dir):
-    """Secrets and personal data masked in one pass, with counts by kind."""
-    t = table(spark, sf_dir, "kb_incidents").select("kb_id", scrub.scrub(F.col("symptoms")).alias("symptoms"), scrub.scrub_counts(F.col("symptoms")).alias("c"))
-    return t.select("kb_id", "symptoms", F.to_json("c").alias("counts"))
+    """Secrets and personal data masked in one pass, with counts by kind, in both free texts of every entry."""
+    kb = table(spark, sf_dir, "kb_incidents")
+    t = kb.select("kb_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("symptoms", "root_cause")])).alias("x")).select("kb_id", "x.*")
+    return t.select("kb_id", "field", scrub.scrub(F.col("text")).alias("text"), F.to_json(scrub.scrub_counts(F.col("text"))).alias("counts"))
 
 
 @query("""SELECT event_type, CAST(round(total * 10000) AS BIGINT) AS total_e4, CASE WHEN total >= 0.7 THEN 'confirmed_by_data' WHEN total >= 0.4 THEN 'likely_cause' WHEN total > 0 THEN 'hypothesis' ELSE 'insufficient_data' END AS verdict FROM (
@@ -375,12 +373,147 @@ def text_slugs(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", tx.source_entry_id(F.col("c_mktsegment"), F.col("c_name")).alias("id"))
 
 
-@query()
+_STEM_SQL = (f"CASE WHEN length(w) <= 4 THEN w WHEN regexp_matches(w, '[а-яё]') THEN regexp_replace(w, '^(.{{4,}}?)(?:{'|'.join(tx.RU_ENDINGS)})$', '\\1') "
+             f"WHEN length(w) > 6 THEN regexp_replace(w, '^(.{{4,}}?)(?:{'|'.join(tx.EN_ENDINGS)})$', '\\1') ELSE w END")
+
+
+@query("SELECT " + _STEM_SQL + " AS stem, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-zа-яё_]{2,}')) AS w FROM documents) WHERE length(w) >= 3 AND w NOT IN ("
+       + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ") GROUP BY 1")
 def text_tokens(spark, sf_dir):
     """Stems of all documents with their frequency."""
     return table(spark, sf_dir, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(r"""SELECT kb_id, i, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(s)), '^tmpl:', ''), '<\w+>', '<v>', 'g'), '\s+', ' ', 'g'), ' .,:;|') AS signature
+  FROM (SELECT kb_id, unnest(range(len(signatures))) AS i, unnest(signatures) AS s FROM kb_incidents)""")
+def text_signatures(spark, sf_dir):
+    """Every signature of the knowledge base in comparable form."""
+    k = table(spark, sf_dir, "kb_incidents").select("kb_id", F.posexplode("signatures").alias("i", "s"))
+    return k.select("kb_id", F.col("i").cast("long").alias("i"), tx.norm_signature(F.col("s")).alias("signature"))
+
+
+#: A message for each mask, with {} for a number, and the template it has.
+MASKED = [
+    ("see https://a.b/c?d={} now", "see <url> now"), ("mail a.b{}@c.example sent", "mail <email> sent"), ("id 123e4567-e89b-12d3-a456-426614174000 of {}", "id <uuid> of <n>"), ("at 2026-07-28T12:00:00.5Z run {}", "at <ts> run <n>"),
+    ("from 10.0.0.1:80 to {}", "from <ip> to <n>"), ("slot 12:34:56 of {}", "slot <time> of <n>"), ("file /var/log/x{}.log gone", "file <path> gone"), ("digest 0123456789abcdef part {}", "digest <hex> part <n>"), ("key \"abc\" in {}", "key <str> in <n>"),
+    ("key ''abc'' in {}", "key <str> in <n>"), ("rows {}, 7, 8 left", "rows <n> left"), ("  spaced   out  {} :", "spaced out <n>"),
+]
+
+
+@query("SELECT CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(MASKED)) + " END AS template, count(*) AS n FROM events GROUP BY 1")
+def text_templates(spark, sf_dir):
+    """Every mask."""
+    msg = F.element_at(F.array(*[F.lit(m.replace("''", "'")) for m, _ in MASKED]), (F.col("event_id") % 12 + 1).cast("int"))
+    d = table(spark, sf_dir, "events").select(F.replace(msg, F.lit("{}"), (F.col("event_id") % 900 + 1).cast("string")).alias("message"))
+    return tx.with_template(d).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT n, CASE WHEN n IN (10, 20, 30, 40, 50) THEN CASE n WHEN 10 THEN 'DEBUG' WHEN 20 THEN 'INFO' WHEN 30 THEN 'WARN' WHEN 40 THEN 'ERROR' ELSE 'FATAL' END WHEN n BETWEEN 100 AND 599 THEN CASE WHEN n >= 500 THEN 'ERROR' WHEN n >= 400 THEN 'WARN' ELSE 'INFO' END
+  WHEN n BETWEEN 0 AND 7 THEN ['FATAL', 'FATAL', 'FATAL', 'ERROR', 'WARN', 'NOTICE', 'INFO', 'DEBUG'][n + 1] END AS level, count(*) AS n_events FROM (SELECT event_id % 700 AS n FROM events) GROUP BY 1, 2""")
+def level_numbers(spark, sf_dir):
+    """Levels written as numbers."""
+    d = table(spark, sf_dir, "events").select((F.col("event_id") % 700).alias("n"))
+    return d.groupBy("n", rec.norm_level(F.col("n").cast("string")).alias("level")).agg(F.count(F.lit(1)).alias("n_events"))
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts) // 1000 * 1000 WHEN 4 THEN epoch_us(ts) // 1000 * 1000 WHEN 5 THEN epoch_us(ts) ELSE epoch_us(ts) // 1000000 * 1000000 END AS us,
+  event_id % 8 NOT IN (3, 7) AS has_zone FROM events""")
+def instants_rendered(spark, sf_dir):
+    """Eight notations of the same instants, with and without an offset."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    f = lambda p, hours=0: F.date_format(F.col("ts") + F.expr(f"make_dt_interval(0, {hours})"), p)
+    us = F.expr("unix_micros(ts)")
+    texts = [f("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.concat(f("yyyy-MM-dd HH:mm:ss,SSS", 3), F.lit("+03:00")), F.concat(f("dd/MMM/yyyy:HH:mm:ss", -2), F.lit(" -0200")), f("dd.MM.yyyy HH:mm:ss"), (us / 1000).cast("long").cast("string"),
+             F.concat(F.expr("us div 1000000").cast("string"), F.lit("."), F.lpad((F.col("us") % 1000000).cast("string"), 6, "0")), F.concat(f("EEE, d MMM yyyy HH:mm:ss", 1), F.lit(" CET")), f("MMM dd, yyyy h:mm:ss a")]
+    d = e.withColumn("us", us).select("event_id", F.element_at(F.array(*texts), (F.col("event_id") % 8 + 1).cast("int")).alias("t"))
+    return with_instant(d, "t", "cast(null as string)", out="us").select("event_id", "us", F.col("us_known").alias("has_zone"))
+
+
+@query(_BASE + """SELECT event_id * 4 AS line_no, CASE WHEN f = 0 AND event_type = 'error' THEN 3 ELSE 1 END AS n_lines,
+  CASE WHEN f = 3 THEN CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END ELSE level END AS log_level, source AS component,
+  CASE WHEN f = 3 THEN 'GET /api/' || event_type || ' HTTP/1.1' ELSE CASE event_type WHEN 'click' THEN 'page opened in ' || (event_id % 900 + 10) || ' ms' WHEN 'view' THEN 'cache warmed for user ' || user_id
+      WHEN 'error' THEN 'PaymentError: timed out after ' || (event_id % 900 + 10) || ' ms' WHEN 'signup' THEN 'signup throttled, retry ' || (event_id % 900 + 10) ELSE 'order ' || event_id || ' paid' END
+    || CASE WHEN f = 0 THEN ' trace_id=' || trace ELSE '' END || CASE WHEN f = 0 AND event_type = 'error' THEN chr(10) || 'java.io.IOException: boom' || chr(10) || chr(9) || 'at com.acme.Svc.pay(Svc.java:142)' ELSE '' END END AS message FROM r""")
+def entries_rendered(spark, sf_dir):
+    """Problem 4 on rendered lines, some shipped twice: level, component and message of every entry."""
+    lines = rendered(spark, sf_dir).select(F.col("src").cast("long").alias("file_id"), "line_no", F.xxhash64("src", "line_no").alias("line_id"), F.col("text").alias("raw"))
+    return log_entries(lines.unionByName(lines.where("line_no % 3 = 0"))).select("line_no", "n_lines", "log_level", "component", "message")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def once_kept(spark, sf_dir):
+    """Problem 1 on events: the first of each user and type."""
+    return split_by_frequency(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"])[0].select("event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n > 1")
+def once_surplus(spark, sf_dir):
+    """Problem 1 on events: all others."""
+    return split_by_frequency(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"])[1].select("event_id")
+
+
+@query(_BASE + "SELECT event_id * 4 AS line_no, CASE WHEN f = 0 AND event_type = 'error' THEN 3 ELSE 1 END AS n_lines FROM r")
+def stitch_blank_lines(spark, sf_dir):
+    """Blank lines between all lines are no part of any record."""
+    lines = rendered(spark, sf_dir).withColumn("line_no", F.col("line_no") * 2)
+    blank = lines.withColumns({"line_no": F.col("line_no") + 1, "text": F.element_at(F.array(F.lit(""), F.lit("  \t"), F.lit(" ")), (F.col("line_no") % 3 + 1).cast("int"))})
+    return rec.stitch(lines.unionByName(blank)).select(F.expr("line_no div 2").alias("line_no"), "n_lines")
+
+
+@query(_BASE + "SELECT level, count(*) AS n_records FROM r WHERE us BETWEEN epoch_us(TIMESTAMP '2024-01-05 00:00:00') AND epoch_us(TIMESTAMP '2024-01-06 12:00:00') GROUP BY 1")
+def filter_window_early(spark, sf_dir):
+    """a window of time; records whose first line lies outside are never put together or parsed."""
+    r = rec.read_records(rendered(spark, sf_dir), since="2024-01-05 00:00:00", until="2024-01-06 12:00:00")
+    return analyze.counts(r, "level").select("level", F.col("count").alias("n_records"))
+
+
+@query(_BASE + "SELECT level, template, source, count(*) AS n_records FROM r GROUP BY 1, 2, 3")
+def group_sources(spark, sf_dir):
+    """A1: records of each group by source."""
+    return analyze.group_sources(records(spark, sf_dir)).select("level", "template", "source", F.col("count").alias("n_records"))
+
+
+@query(_BASE + "SELECT level, template, 'app-' || (event_id % 5) || '.log' AS origin, count(*) AS n_records FROM r GROUP BY 1, 2, 3")
+def group_origins(spark, sf_dir):
+    """A1: records of each group by file."""
+    return analyze.group_origins(records(spark, sf_dir)).select("level", "template", "origin", F.col("count").alias("n_records"))
+
+
+@query(_BASE + """, c AS (SELECT trace AS key, source AS service, level AS value, count(*) AS n FROM r WHERE trace IS NOT NULL GROUP BY 1, 2, 3)
+SELECT key, service, value, n AS n_records FROM c QUALIFY row_number() OVER (PARTITION BY key, service ORDER BY n DESC, value) <= 3""")
+def hop_levels(spark, sf_dir):
+    """Levels of each hop."""
+    return correlate.hop_counts(traced(spark, sf_dir), "level").select("key", "service", "value", F.col("count").alias("n_records"))
+
+
+@query(_BASE + """, h AS (SELECT trace AS key, source AS service, min(us) AS us FROM r WHERE trace IS NOT NULL GROUP BY 1, 2), g AS (SELECT key, service, us - lag(us) OVER (PARTITION BY key ORDER BY us, service) AS gap, row_number() OVER (PARTITION BY key ORDER BY us, service) AS hop FROM h)
+SELECT key, service FROM g WHERE gap > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY gap DESC, hop) = 1""")
+def hop_slowest(spark, sf_dir):
+    """The longest wait of each request."""
+    return correlate.hops(traced(spark, sf_dir)).where("slowest").select("key", "service")
+
+
+@query(_BASE + """, e AS (SELECT template AS key, source AS service, min(us) AS us FROM r GROUP BY 1, 2), d AS (SELECT x.service AS a, y.service AS b, (y.us - x.us) / 1000000.0 AS d FROM e x JOIN e y ON x.key = y.key AND x.service < y.service),
+m AS (SELECT a, b, count(*) AS n, median(d) AS m FROM d GROUP BY 1, 2) SELECT a, b, n, CAST(round(m * 1000) AS BIGINT) AS median_ms FROM m WHERE n >= 3 AND abs(m) >= 2""")
+def clock_skew_by_template(spark, sf_dir):
+    """Clock differences from messages of the same template."""
+    r = records(spark, sf_dir).withColumn("service", F.col("source"))
+    return correlate.clock_skew_by_template(r).select("a", "b", "n", F.round(F.col("median_s") * 1000).cast("long").alias("median_ms"))
+
+
+@query(_BASE + "SELECT event_id * 4 AS line_no FROM r WHERE trace = 'req-000012'")
+def trace_dump(spark, sf_dir):
+    """K6: all records that hold an id."""
+    return analyze.containing(records(spark, sf_dir), "req-000012").select("line_no")
+
+
+@query("SELECT kb_id, row_number() OVER (ORDER BY inc_date DESC NULLS LAST, kb_id) AS pos FROM kb_incidents WHERE coalesce(nullif(lower(trim(kind)), ''), 'incident') = 'incident'")
+def kb_by_date(spark, sf_dir):
+    """Incidents, newest first; the position is worked out over the ordered list."""
+    e = kb_search.from_table(table(spark, sf_dir, "kb_incidents")).withColumn("id", F.col("kb_id"))
+    return kb_search.by_date(e).withColumn("pos", F.row_number().over(Window.orderBy(F.col("date").desc_nulls_last(), "kb_id")).cast("long")).select("kb_id", "pos")
+
+
 @query()
 def triage_report(spark, sf_dir):
     """The whole chain to one report document."""
@@ -388,3 +521,11 @@ def triage_report(spark, sf_dir):
 
     e = kb_search.from_table(table(spark, sf_dir, "kb_incidents")).withColumn("id", F.concat_ws("#", "id", "kb_id"))
     return report(triage(rendered(spark, sf_dir), e))
+
+
+@query(_BASE + """SELECT 'logs' AS contour, template AS detail, count(*) AS n_records FROM r WHERE level = 'ERROR' GROUP BY template ORDER BY count(*) DESC, min((event_id % 5) * 100000000000 + event_id) LIMIT 5""")
+def triage_evidence(spark, sf_dir):
+    """The evidence of the logs, five groups as the report shows."""
+    from faultline.plans.triage import evidence, triage
+
+    return evidence(triage(rendered(spark, sf_dir))).where("contour = 'logs'").select("contour", "detail", F.col("count").alias("n_records"))
