@@ -8,15 +8,15 @@ Weights are learned in pii_train.py by the gradient of the conditional likelihoo
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,6 +35,9 @@ CAPITALS = set("trace trc debug dbg info inf notice warn warning wrn error err s
                "https json url api sql get put post delete order by select from where null z utc msk cest cet est edt qq qv xj zx jvm cpu io db".split())
 #: Shorter and longer bounds tried for one pattern match, besides the match itself.
 MOST_CUTS = 6
+#: Forms of numbers of which a worker keeps the cuts and scores.
+MOST_FORMS = 65_536
+_NINES = bytes.maketrans(b"012345678", b"999999999")
 
 _LOCAL = r"[\p{L}\p{N}](?:[\p{L}\p{N}._+-]*[\p{L}\p{N}])?"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
@@ -95,30 +98,54 @@ _STREET_SIGNS = {"en": "street st lane ln road rd av dr close court ct cres way
                  "de": "straße strasse str. weg platz allee ufer gasse ring damm steig chaussee stieg markt pfad graben hof".split(),
                  "ru": "ул. улиц пер. переул пр-т просп пр. наб б-р бульвар ш. шоссе пл. площадь проезд пр-д аллея тупик".split()}
 
-_FULL = r"(?:\p{Lu}\p{Ll}+(?:[-’']\p{Lu}\p{Ll}+)*|(?!(?:" + "|".join(sorted(x.upper() for x in CAPITALS)) + r")(?![\p{L}\p{N}-]))\p{Lu}{2,}(?:-\p{Lu}{2,})*)(?![\p{L}\p{N}_@%=/\\-])"
-# Forms without one of which there is no segment to score: the candidates' own patterns, or wider ones that fail at once at most positions.
-_java = lambda p: p.replace("(?i:", "(?iu:")
-_SIGN_EMAIL = r"[\p{L}\p{N}] ?@ ?[\p{L}\p{N}]"
-_SIGN_ID = "(?U)" + _java(_LABELLED_ID.pattern)
-_SIGN_STREET_EN = r"\d[A-Za-z]? (?:\p{Lu}[\p{L}’'-]* ){1,3}" + _STREET_EN
-_SIGN_STREET_DE = r"(?:" + _STREET_DE[3:-1] + r"|Straße|Str\.|Weg|Platz|Allee|Ufer|Gasse|Ring|Damm) \d"
-_DE_PARTS = [f"{w} " for w in "straße strasse str. weg platz allee ufer gasse ring damm steig chaussee stieg markt pfad graben hof Straße Str. Weg Platz Allee Ufer Gasse Ring Damm".split()]
-_SIGN_STREET_RU = _STREET_RU + r" ?\p{Lu}|\p{L} (?:улица|переулок|проспект|набережная|площадь|шоссе|бульвар|аллея),? (?:д|\d)"
-_SIGN_NAME = (r"(?<![\w/.@%-])(?=\p{Lu}[\p{L}’'.-]*+,? ?\p{Lu})" + _FULL + r",? ?(?:" + _FULL + r"|\p{Lu}\.)|(?<![\w@%-])\p{Lu}\. ?(?:\p{Lu}\. ?)?\p{Lu}\p{L}")
+# What a text may hold. A pattern is tried on a text only if the form of the same bit stands in it.
+EMAIL, PHONE, FORM, LABELLED, STREET_EN, STREET_DE, STREET_RU, NAME = (1 << i for i in range(8))
+_STREETS = {"en": STREET_EN, "de": STREET_DE, "ru": STREET_RU}
+EVERYTHING = 255
+# The candidates' own patterns, or wider ones, in the language of RE2: no look around (the sign beside is part of the match), no word bounds, digits and spaces
+# of any script by name.
+_LN, _SPACE = r"[\p{L}\p{N}]", r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]?"
+_re2 = lambda p: p.replace(r"\b", "").replace(r"\d", r"\p{Nd}").replace(r"\w", r"[\p{L}\p{M}\p{N}\p{Pc}]")
+_SIGNS = {
+    EMAIL: rf"{_LN}(?: ?@ ?|%40){_LN}|{_LN} ?(?:\((?i:at|собака)\)|\[(?i:at)\]|\{{(?i:at)\}}) ?{_LN}|{_LN} (?i:at) {_LN}[\p{{L}}\p{{N}}-]* (?i:dot) ",
+    PHONE: r"(?:^|[^\p{L}\p{N}_.+/:#-])(?:\+ ?|\()?\p{Nd}(?:[ ()./-]*\p{Nd}){6,}(?:$|[^\p{L}\p{N}_])|(?:^|[^\p{L}\p{N}_.+-])\p{Nd}{7,12}(?:$|[^\p{L}\p{N}_])",
+    FORM: _re2(_FORM.replace(r"(?<![\p{L}\p{N}_.+-])", r"(?:^|[^\p{L}\p{N}_.+-])").replace(r"(?![\p{L}\p{N}_-])", r"(?:$|[^\p{L}\p{N}_-])")),
+    LABELLED: _re2(_WORD_ID) + _SPACE + "[:=#№]?" + _SPACE + r"(?:\p{Nd}|\p{Lu}[\p{L}\p{Nd}-]*\p{Nd})",
+    STREET_EN: r"\p{Nd}[A-Za-z]? (?:" + _CAP + " ){1,3}" + _re2(_STREET_EN),
+    STREET_DE: r"[\p{L}-](?:" + _STREET_DE[3:-1] + r"| (?:Straße|Str\.|Weg|Platz|Allee|Ufer|Gasse|Ring|Damm)) \p{Nd}",
+    STREET_RU: r"(?:^|[^\p{L}\p{N}_/-])" + _STREET_RU + r" ?\p{Lu}|[\p{L}-] (?:улица|переулок|проспект|набережная|площадь|шоссе|бульвар|аллея),? (?:д|\p{Nd})",
+    NAME: (r"(?:^|[^\p{L}\p{N}_/.@%-])\p{Lu}\p{Ll}+(?:[-’']\p{Lu}\p{Ll}+)*,? \p{Lu}[\p{Ll}.]|\p{Lu}{2},? \p{Lu}[\p{Lu}.]|"
+           r"(?:^|[^\p{L}\p{N}_@%-])\p{Lu}\. ?\p{Lu}[\p{Lu}\p{Ll}]"),
+}
+# A date and hour that a match of _DIGITS begins and ends with, as nothing before or after can be part of it: such a match is never a candidate.
+_DAY_HOUR = r"""(^|["'\[\]=,;<>{}|])(?:(?:19|20)[0-9][0-9][-/.][0-9][0-9][-/.][0-9][0-9]|[0-9][0-9]\.[0-9][0-9]\.(?:19|20)[0-9][0-9]) [0-9][0-9]:"""
+# Signs that are read as others (_ODD), that match others when case is ignored, or of scripts of which RE2 may know fewer letters: such texts may hold everything.
+_UNSURE = r"[^\x{00}-\x{9F}\x{A1}-\x{12F}\x{132}-\x{17E}\x{180}-\x{52F}\x{2014}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{2116}]"
+
+
+def _match(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).fill_null(False).to_numpy(zero_copy_only=False)
+
+
+def signs(texts: pa.Array) -> np.ndarray:
+    """For each text the bits of the candidates that it may hold, wider than the candidates themselves, by one pass of RE2 for each bit; 0 for null."""
+    out = np.zeros(len(texts), np.uint8)
+    for bit, pattern in _SIGNS.items():
+        if bit not in (PHONE, STREET_RU):
+            out[_match(texts, pattern)] |= bit
+    numbers = np.flatnonzero(_match(texts, _SIGNS[PHONE]))
+    rest = pc.replace_substring_regex(texts.take(pa.array(numbers)), _DAY_HOUR, r"\1~:")
+    out[numbers[_match(rest, _SIGNS[PHONE])]] |= PHONE
+    wide = np.flatnonzero(pc.not_equal(pc.binary_length(texts), pc.utf8_length(texts)).fill_null(False).to_numpy(zero_copy_only=False))  # with signs beyond ASCII
+    rest = texts.take(pa.array(wide))
+    out[wide[_match(rest, _SIGNS[STREET_RU])]] |= STREET_RU
+    out[wide[_match(rest, _UNSURE)]] = EVERYTHING
+    return out
 
 
 def may_hold(text: str = "text") -> Column:
-    """Whether a text can hold a candidate at all, tested in the JVM before a text goes to Python; null for null."""
-    t = F.col(text)
-    low = F.lower(t)
-    more = F.octet_length(t) != F.char_length(t)  # letters or signs beyond ASCII
-    any_of = lambda words, t=t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
-    n_digits = lambda x: F.char_length(F.regexp_replace(x, r"[^0-9]+", ""))
-    number = F.exists(F.regexp_extract_all(t, F.lit(_DIGITS.pattern), F.lit(0)), lambda x: (n_digits(x) >= 7) & ~x.rlike(_DATE.pattern))
-    return (t.rlike(_SIGN_NAME) | (F.contains(t, F.lit("@")) & t.rlike(_SIGN_EMAIL)) | any_of(["%40", "at)", "at]", "at}", "собака)", " dot "], low)
-            | (any_of(_ID_SIGNS, low) & t.rlike(_SIGN_ID)) | t.rlike(_FORM) | number
-            | (any_of(_DE_PARTS) & t.rlike(_SIGN_STREET_DE)) | t.rlike(_SIGN_STREET_EN)
-            | (more & (t.rlike(f"[{_ODD}]") | t.rlike(r"[\p{Nd}&&[^0-9]]") | t.rlike("[а-я]") & t.rlike(_SIGN_STREET_RU))))
+    """Whether a text can hold a candidate at all; false for null. The operators below take the bits of signs() where they read the texts."""
+    return F.arrow_udf(lambda x: pa.array(signs(x) > 0), "boolean")(F.col(text))
 
 
 @lru_cache(maxsize=1)
@@ -191,32 +218,71 @@ def _edge(text: str, a: int, b: int) -> str:
     return f"edge={bool(_ENDS.search(before))}{bool(_GOES_ON.match(after))}"
 
 
-def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[str]]]:
+def _form(span: str) -> str:
+    """A number with 9 for every digit from 0 to 9."""
+    return span.encode().translate(_NINES).decode()
+
+
+@lru_cache(maxsize=MOST_FORMS)
+def _number_cuts(form: str) -> list[tuple[int, int, int]]:
+    """(start, end, digits) of the spans of a number that may be a phone's; which they are does not depend on what the digits are."""
+    unopened = form[0] == "(" and form.count("(") > form.count(")")  # the bracket belongs to the text around
+    out = []
+    for a, b in _cuts(form, unopened, len(form), _DIGIT_SEAM, _PHONE_PART.fullmatch):
+        digits = sum(map(str.isdigit, form[a:b]))
+        if 7 <= digits <= 16 and form.count("(", a, b) == form.count(")", a, b):
+            out.append((a, b, digits))
+    return out
+
+
+def _number(span: str, digits: int) -> list[str]:
+    """Features of a number itself."""
+    start = span.lstrip("( ")
+    return [f"digits={digits}", f"group={_grouping(span)}", f"lead={start[:2] if start[:1] in '+08' else 'd'}", f"plus={span[0] == '+'}", f"bare={span.isdigit()}"]
+
+
+class NumberBounds:
+    """Whether a number can score above zero at all: by its own features, which depend on its form and first signs only, and the most that what stands around can add."""
+
+    def __init__(self, w: dict[str, float]):
+        most = lambda f: max([0.0, *(x for k, x in w.items() if k.startswith(f"phone {f}="))])
+        self.w, self.known = w, {}
+        self.around = most("prev") + most("next") + 1e-6  # sums in another order differ by less than that
+        self.any_edge = most("edge")
+
+    def hopeless(self, text: str, a: int, b: int, digits: int) -> bool:
+        span = text[a:b]
+        form = span[:3] + _form(span[3:]) if span[0] in "+08(" else _form(span)
+        own = self.known.get(form)
+        if own is None:
+            if len(self.known) >= MOST_FORMS:
+                self.known.clear()
+            own = self.known[form] = score("phone", _number(span, digits), self.w)
+        s = own + self.around
+        return s + self.any_edge <= 0 or s + self.w.get(f"phone {_edge(text, a, b)}", 0.0) <= 0
+
+
+def candidates(text: str, lexicon: Lexicon, may: int = EVERYTHING, bounds: NumberBounds | None = None) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, kind, features) of every segment considered. Matches of the patterns are cut at their separators in several ways, so that bounds, too, are
-    chosen by the scores."""
+    chosen by the scores. may: bits of the patterns to try (signs()). bounds: numbers that cannot score above zero are left out."""
     out: list[tuple[int, int, str, list[str]]] = []
-    low = text.lower()
-    for form, pattern in _EMAIL_RE:
+    low = text.lower() if may & ~(PHONE | FORM | NAME) else ""
+    for form, pattern in _EMAIL_RE if may & EMAIL else ():
         if _has(low, _EMAIL_SIGNS[form]):
             for m in pattern.finditer(text):
                 for a, b in _cuts(text, *m.span(), _LABEL_SEAM, pattern.fullmatch):
                     tld = _TLD.search(_AT.split(text[a:b])[-1])
                     out.append((a, b, "email", [f"form={form}", f"tld={bool(tld)}", f"whole={(a, b) == m.span()}", f"gap={'. ' in text[a:b]}", "then=:" if text[b:b + 1] == ":" and text[b + 1:b + 2].strip() else "then="]))
-    for m in _DIGITS.finditer(text):
-        if _DATE.search(m.group()):
-            continue
-        unopened = m.group()[0] == "(" and m.group().count("(") > m.group().count(")")  # the bracket belongs to the text around
-        for a, b in _cuts(text, m.start() + unopened, m.end(), _DIGIT_SEAM, _PHONE_PART.fullmatch):
-            span = text[a:b]
-            digits = len(span) if span.isdigit() else sum(map(str.isdigit, span))
-            if not 7 <= digits <= 16 or span.count("(") != span.count(")"):
-                continue
-            out.append((a, b, "phone", [f"digits={digits}", f"group={_grouping(span)}", f"lead={span.lstrip('( ')[:2] if span.lstrip('( ')[:1] in '+08' else 'd'}", f"plus={span[0] == '+'}",
-                                        f"bare={span.isdigit()}", _edge(text, a, b), *_around(text, a, b)]))
-    for m in _FORM_ID.finditer(text):
+    for m in _DIGITS.finditer(text) if may & PHONE else ():
+        spans = [(m.start() + a, m.start() + b, digits) for a, b, digits in _number_cuts(_form(m.group()))]
+        if bounds:
+            spans = [x for x in spans if not bounds.hopeless(text, *x)]
+        if spans and not _DATE.search(m.group()):
+            out += [(a, b, "phone", [*_number(text[a:b], digits), _edge(text, a, b), *_around(text, a, b)]) for a, b, digits in spans]
+    for m in _FORM_ID.finditer(text) if may & FORM else ():
         g = _LATIN.sub("L", _grouping(m.group()))
         out.append((*m.span(), "person_id", [f"group={g}", *_around(text, *m.span())]))
-    if _has(low, _ID_SIGNS):
+    if may & LABELLED and _has(low, _ID_SIGNS):
         for m in _LABELLED_ID.finditer(text):
             word = _LETTERS.match(m.group()).group().casefold()
             for a, b in _cuts(text, *m.span(), _DIGIT_SEAM, _LABELLED_ID.fullmatch):
@@ -224,11 +290,12 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
                 out.append((a, b, "person_id", [f"word={word}", f"enough={7 <= digits <= 14}", _edge(text, a, b)]))
     latin = text.isascii()
     for lang, pattern in _ADDRESS.items():
-        if not (latin and lang == "ru") and _has(low, _STREET_SIGNS[lang]):
+        if may & _STREETS[lang] and not (latin and lang == "ru") and _has(low, _STREET_SIGNS[lang]):
             for m in pattern.finditer(text):
                 for a, b in _cuts(text, *m.span(), _COMMA_SEAM, pattern.fullmatch):
                     out.append((a, b, "address", [f"lang={lang}", f"whole={(a, b) == m.span()}", _edge(text, a, b), *_around(text, a, b)]))
-    _name_candidates(text, lexicon, out)
+    if may & NAME:
+        _name_candidates(text, lexicon, out)
     return out
 
 
@@ -271,9 +338,9 @@ def score(kind: str, feats: list[str], w: dict[str, float]) -> float:
     return s
 
 
-def best_segments(text: str, lexicon: Lexicon, w: dict[str, float]) -> list[tuple[int, int, str]]:
+def best_segments(text: str, lexicon: Lexicon, w: dict[str, float], may: int = EVERYTHING, bounds: NumberBounds | None = None) -> list[tuple[int, int, str]]:
     """The highest-scoring set of segments that do not overlap, in order."""
-    found = [(b, a, k, s) for a, b, k, f in candidates(text, lexicon) if b - a <= LONGEST and (s := score(k, f, w)) > 0]
+    found = [(b, a, k, s) for a, b, k, f in candidates(text, lexicon, may, bounds) if b - a <= LONGEST and (s := score(k, f, w)) > 0]
     if not found:
         return []
     found.sort()
@@ -295,17 +362,22 @@ def best_segments(text: str, lexicon: Lexicon, w: dict[str, float]) -> list[tupl
     return out[::-1]
 
 
-def find(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, str]]:
-    """Segments of one text. Null, empty and blank texts have none."""
-    return best_segments(_plain(text), lexicon, weights()) if text and text.strip() else []
+@lru_cache(maxsize=1)
+def _bounds() -> NumberBounds:
+    return NumberBounds(weights())
+
+
+def find(text: str | None, lexicon: Lexicon, may: int = EVERYTHING) -> list[tuple[int, int, str]]:
+    """Segments of one text, by the patterns that its signs() name. Null, empty and blank texts have none."""
+    return best_segments(_plain(text), lexicon, weights(), may, _bounds()) if text and text.strip() else []
 
 
-def redact(text: str | None, lexicon: Lexicon) -> str | None:
+def redact(text: str | None, lexicon: Lexicon, may: int = EVERYTHING) -> str | None:
     """The text with <kind> in place of each segment and everything else as it was."""
     if not text:
         return text
     out, at = [], 0
-    for a, b, k in find(text, lexicon):
+    for a, b, k in find(text, lexicon, may):
         out += [text[at:a], f"<{k}>"]
         at = b
     return "".join(out) + text[at:]
@@ -326,16 +398,36 @@ def fields(log_lines: DataFrame, kb: DataFrame) -> DataFrame:
                                       for c in ("symptoms", "root_cause")])).alias("x")).select("x.*"))
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 65_536, size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to `rows` rows and `size` bytes, as RE2 translates its patterns anew for each; a larger one stays alone."""
+    kept, n, held = [], 0, 0
+    for b in batches:
+        if kept and (n + b.num_rows > rows or held + b.nbytes > size):
+            yield pa.concat_batches(kept)
+            kept, n, held = [], 0, 0
+        kept.append(b)
+        n, held = n + b.num_rows, held + b.nbytes
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def _held(texts: pa.Array) -> Iterator[tuple[int, str, int]]:
+    """(row, text, bits) of the texts that may hold a candidate."""
+    bits = signs(texts)
+    at = np.flatnonzero(bits)
+    return zip(at.tolist(), texts.take(pa.array(at)).to_pylist(), bits[at].tolist())
+
+
 def occurrences(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """field_name, rec_id, kind, occ_no of each occurrence. Texts that cannot hold a candidate are left out in the JVM; no shuffle.
+    """field_name, rec_id, kind, occ_no of each occurrence. Texts that cannot hold a candidate never become Python strings; no shuffle.
 
     Null, empty and blank texts have none; repeated rows count each; an empty table gives none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _larger(batches):
             at, kinds, numbers = [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            for i, text, may in _held(b.column(2)):
                 seen: dict[str, int] = {}
-                for _, _, k in find(text, lexicon):
+                for _, _, k in find(text, lexicon, may):
                     seen[k] = seen.get(k, 0) + 1
                     at.append(i)
                     kinds.append(k)
@@ -343,14 +435,16 @@ def occurrences(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
             rows = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(kinds, pa.string()), pa.array(numbers, pa.int32())], names=["field_name", "rec_id", "kind", "occ_no"])
 
-    return texts.where(may_hold()).select("field_name", "rec_id", "text").mapInArrow(run, "field_name string, rec_id bigint, kind string, occ_no int")
+    return texts.select("field_name", "rec_id", "text").mapInArrow(run, "field_name string, rec_id bigint, kind string, occ_no int")
 
 
 def masked(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """field_name, rec_id, text with typed placeholders, of every row; null and empty texts as they are."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[["field_name", "rec_id"]].assign(text=[redact(t, lexicon) if p else t for t, p in zip(b["text"], b["p"])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _larger(batches):
+            new = {i: redact(text, lexicon, may) for i, text, may in _held(b.column(2))}
+            there = np.zeros(b.num_rows, bool)
+            there[list(new)] = True
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.replace_with_mask(b.column(2), pa.array(there), pa.array(new.values(), b.column(2).type))], names=["field_name", "rec_id", "text"])
 
-    return texts.withColumn("p", F.coalesce(may_hold(), F.lit(False))).mapInPandas(
-        run, "field_name string, rec_id bigint, text string")
+    return texts.select("field_name", "rec_id", "text").mapInArrow(run, "field_name string, rec_id bigint, text string")

@@ -6,6 +6,7 @@ import random
 from http import HTTPStatus
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 import regex as re
 from pyspark.sql import functions as F
@@ -242,5 +243,47 @@ def test_tests_in_the_jvm_are_wider_than_the_candidates(spark):
     assert {texts.index(t) for t in ("2025-08-10 01:14:54 INFO up", "10.0.0.9 - - x", "plain")} <= left_out
 
 
+def test_patterns_are_tried_only_where_their_signs_stand():
+    r = random.Random(8)
+    texts = ["2025-08-10 01:14:54 INFO up", "2025-08-10 01 14 555 0152", "<134>1 2026-01-27T18:51:45Z up", "Ново- улица 5", "ſocial ſecurity 123456789", "Kiln‑Moor 5", "J.K. Kiln", "KILN, J.", "x %40 y", "a DOT b AT c dot d", "𝟏𝟐𝟑𝟒𝟓𝟔𝟕", ""]
+    for t in [pii_train.compose(r)[0] for _ in range(400)]:
+        texts += [t, t.upper(), t.lower(), t.swapcase(), t.replace(" ", "\u00a0"), t.replace("-", " "), t.replace(" ", "-"), t.replace(".", " "), "".join(r.choice("0189 -()/.+:T,[") for _ in range(30))]
+    bits = pii.signs(pa.array([*texts, None])).tolist()
+    lex = pii.Lexicon({"Yorick"}, {"Dunwick"})
+    for t, may in zip(texts, bits):
+        plain = pii._plain(t)
+        assert pii.candidates(plain, lex, may) == pii.candidates(plain, lex), t
+        assert pii.find(t, lex, may) == pii.best_segments(plain, lex, pii.weights()), t
+    assert bits[0] == bits[-1] == 0 and len(set(bits)) > 20
+
+
+def test_hopeless_numbers_are_left_out():
+    for t in ("1736064714 up", "level=info ts=1735865692.488 up", "<134>1 2026-01-27T18:51:45Z up"):
+        all_of, scored = (pii.candidates(t, pii.Lexicon(), pii.PHONE, b) for b in (None, pii.NumberBounds(pii.weights())))
+        assert all_of and len(scored) < len(all_of) and all(pii.score(*x[2:], pii.weights()) <= 0 for x in all_of if x not in scored), t
+    w = {"phone": -1.0, "phone prev=call": 1.5}
+    assert [len(pii.candidates(t, pii.Lexicon(), bounds=pii.NumberBounds(w))) for t in ("call 1736064714", "pay 1736064714")] == [1, 1]
+    assert not pii.candidates("call 1736064714", pii.Lexicon(), bounds=pii.NumberBounds(w | {"phone bare=True": -0.6}))
+
+
+def test_texts_are_tested_once_beside_the_patterns(spark):
+    """No pattern runs in the JVM, and batches put together lose no row and keep their order."""
+    df = spark.createDataFrame([("raw", i, "SMS to 808.555.0152 sent" if i % 3 == 0 else None if i % 3 == 1 else "up") for i in range(700)], "field_name string, rec_id bigint, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found, out = pii.occurrences(df, pii.Lexicon()), pii.masked(df, pii.Lexicon())
+        for x in (found, out):
+            plan = x._jdf.queryExecution().optimizedPlan().toString()
+            assert "RLIKE" not in plan and "regexp" not in plan
+        assert [r["rec_id"] for r in found.collect()] == list(range(0, 700, 3))
+        assert [(r["rec_id"], r["text"]) for r in out.collect()] == [(i, ("SMS to <phone> sent", None, "up")[i % 3]) for i in range(700)]
+        assert pii.occurrences(df.limit(0), pii.Lexicon()).count() == pii.masked(df.limit(0), pii.Lexicon()).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    b = pa.record_batch([pa.array(range(10))], names=["n"])
+    assert [x.num_rows for x in pii._larger(iter([b, b, b, b]), rows=25)] == [20, 20] and [x.num_rows for x in pii._larger(iter([b, b]), size=100)] == [10, 10]
+    assert not list(pii._larger(iter([])))
+
+
 def test_queries_are_named_by_problem():
     assert {n.split("_")[0] for n in QUERIES} == {"p2", "p6", "p7", "p8"}
